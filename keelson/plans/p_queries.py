@@ -3,16 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keelson.operators import cdc
+from keelson.operators import cdc, csv_records, drift
 from keelson.tables import table
 
 
+#: The twelve supplier columns in their order.
+SUPPLIER_COLUMNS = [
+    "old_vendor_number", "vendor_legal_name", "partner_type", "vendor_country", "preferred_language", "vat_number",
+    "company_assignment_key", "company_vendor_reference", "legal_entity_code", "recon_gl_account", "payment_condition",
+    "legacy_created_by",
+]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changed_columns(table(spark, sf_dir, "source_supplier"), "load_no", SUPPLIER_COLUMNS)
+
+
+def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.column_profile(table(spark, sf_dir, "source_supplier"), "load_no", SUPPLIER_COLUMNS)
+
+
+def p2_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.load_tests(table(spark, sf_dir, "source_supplier"), "load_no", SUPPLIER_COLUMNS)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_records.split_records(table(spark, sf_dir, "mapping_job_payloads"), "job_id", "csv_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_records.faulty_records(_records(spark, sf_dir), "job_id")
+
+
+def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = csv_records.loadable_records(_records(spark, sf_dir), "job_id")
+    return record.select(
+        "job_id", "line_no", F.map_values("record").getItem(0).alias("legacy_client_id"), F.to_json("record").alias("record")
+    )
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.replay(table(spark, sf_dir, "cutover_plan_items"), table(spark, sf_dir, "cutover_status_updates"))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {
+    "p2_found": p2_found, "p2_profile": p2_profile, "p2_tests": p2_tests,
+    "p4_found": p4_found, "p4_loaded": p4_loaded,
+    "p5_found": p5_found,
+}
 
 _P5_STATE = r"""
 WITH feed AS (
