@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.skew import join_by_value
+from keelson.storage import durable
 
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",\r\n]*+)'
 #: A whole record at the start of the piece, up to its line end. Group 1 is the record without the line end.
@@ -112,7 +113,8 @@ def faulty_records(records: DataFrame, key: str, rules: tuple[ValueRule, ...] =
     """(key, line_no, reason) of the records that cannot be loaded: structural faults first, then ``invalid_value``."""
     structural = records.where("reason is not null").select(key, "line_no", "reason")
     values = _ruled_values(records, rules, key, "line_no")
-    bad = join_by_value(values, invalid_values(records, rules), ["column_name", "value"], "rows", "left_semi")
+    invalid = durable(invalid_values(records, rules))
+    bad = join_by_value(values, invalid, ["column_name", "value"], "rows", "left_semi")
     by_value = bad.select(key, "line_no").distinct().withColumn("reason", F.lit("invalid_value"))
     return structural.unionByName(by_value)
 

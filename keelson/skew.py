@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this fraction of all rows, so there are at most 1 / HOT_FRACTION hot keys.
 HOT_FRACTION = 0.001
+#: Parts that the rows of a hot key are spread over.
+SALTS = 64
+#: Most rows of a lookup that is broadcast as a whole; the count is taken first.
+BROADCAST_ROWS = 20_000
 
 
 def join_by_value(
@@ -14,19 +18,26 @@ def join_by_value(
 ) -> DataFrame:
     """Join ``rows`` with ``lookup`` (unique on ``keys``), whose ``count_column`` says how many rows have that key.
 
-    Keys that hold at least ``HOT_FRACTION`` of the counted rows are joined by broadcast: there are at most
-    ``1 / HOT_FRACTION`` of them, whatever the size of the data. All other keys are joined by shuffle, where none
-    can fill a partition. ``how`` is ``inner`` or ``left_semi``. NULL keys match nothing.
+    ``lookup`` is read several times, so it should be a written table. If it has at most ``BROADCAST_ROWS`` rows it is
+    broadcast. Otherwise both sides are shuffled once, and the rows of hot keys are spread over ``SALTS`` parts; the
+    hot keys themselves are at most ``1 / HOT_FRACTION``, whatever the size of the data. ``how`` is ``inner``,
+    ``left`` or ``left_semi``. NULL keys match nothing.
     """
-    total = lookup.agg(F.sum(count_column)).first()[0] or 0
-    if not total:
-        return rows.join(lookup.drop(count_column), keys, how)
-    is_hot = F.col(count_column) >= F.lit(total * HOT_FRACTION)
-    hot = lookup.where(is_hot).drop(count_column)
-    cold = lookup.where(~is_hot).drop(count_column)
-    by_broadcast = rows.join(F.broadcast(hot), keys, how)
-    by_shuffle = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    return by_broadcast.unionByName(by_shuffle)
+    facts = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(count_column).alias("total")).first()
+    if facts["n"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup.drop(count_column)), keys, how)
+    is_hot = F.col(count_column) >= F.lit(facts["total"] * HOT_FRACTION)
+    hot = lookup.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    spread = F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SALTS)).cast("int")
+    salted = (
+        rows.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+        .drop("_hot")
+    )
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(
+        lookup.withColumn("_salt", F.explode(copies)).drop(count_column), [*keys, "_salt"], how
+    ).drop("_salt")
 
 
 def blank_to_null(column: Column) -> Column:
