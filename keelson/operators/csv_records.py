@@ -41,13 +41,15 @@ CUSTOMER_RULES = (
 )
 
 
-def _fields(record: Column) -> Column:
-    """The unquoted fields of a well-formed record."""
+def _fields(piece: Column) -> Column:
+    """The unquoted fields of the record at the start of ``piece``; NULL if its quoting is broken."""
+    record = F.regexp_extract(piece, _RECORD, 1)
     raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_FIELD})"), F.lit(1))
-    return F.transform(
+    unquoted = F.transform(
         raw,
         lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x),
     )
+    return F.when(record != "", unquoted)
 
 
 def split_records(texts: DataFrame, key: str, text: str, mark: str = "LC-") -> DataFrame:
@@ -64,20 +66,16 @@ def split_records(texts: DataFrame, key: str, text: str, mark: str = "LC-") -> D
         F.transform(lines, lambda line, i: F.when((i > 0) & line.startswith(mark), i + 1)), lambda n: n.isNotNull()
     )
     pieces = F.split(body, rf"{_BREAK}(?={mark})")
-    # Piece 0 is the header with whatever follows it; a text that begins with a record has that line as its header.
-    zipped = F.arrays_zip(starts.alias("line_no"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("raw"))
     first = F.element_at(lines, 1)
-    header = F.when(first.rlike(_RECORD), _fields(first)).otherwise(F.split(first, ","))
-    # The header is made before the texts are cut up, else it would be made again for every record.
-    cut = texts.where(F.col(text).isNotNull()).select(F.col(key), header.alias("header"), zipped.alias("_records"))
-    rows = cut.select(key, "header", F.inline("_records").alias("line_no", "raw"))
-    checked = rows.select(
-        key,
-        F.col("line_no").cast("bigint").alias("line_no"),
-        "header",
-        F.when(F.col("raw").rlike(_RECORD), _fields(F.regexp_extract("raw", _RECORD, 1))).alias("fields"),
-        "raw",
+    header = F.coalesce(_fields(first), F.split(first, ","))
+    # Piece 0 is the header with whatever follows it. Fields are made inside the array, so that they are made once,
+    # and before the array is exploded, since later expressions on the whole text would run for every record.
+    zipped = F.arrays_zip(starts.alias("line_no"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("raw"))
+    records = F.transform(
+        zipped, lambda x: F.struct(x["line_no"].cast("bigint").alias("line_no"), x["raw"].alias("raw"), _fields(x["raw"]).alias("fields"))
     )
+    cut = texts.where(F.col(text).isNotNull()).select(F.col(key), header.alias("header"), records.alias("_records"))
+    checked = cut.select(key, "header", F.inline("_records").alias("line_no", "raw", "fields"))
     reason = F.when(F.col("fields").isNull(), "quoting").when(F.size("fields") != F.size("header"), "column_count")
     return checked.withColumn("reason", reason)
 
@@ -94,13 +92,14 @@ def _check_expression(rules: tuple[ValueRule, ...]) -> Column:
 
 
 def _ruled_values(records: DataFrame, rules: tuple[ValueRule, ...], *keep: str) -> DataFrame:
-    """Long rows (keep..., column_name, value) of the ruled columns that a record's header has."""
+    """Long rows (keep..., column_name, value) of the ruled columns that a record's header has; a record with a
+    structural fault or without ruled columns has one row with NULLs."""
     names = F.array(*(F.lit(r.column) for r in rules))
     pairs = F.filter(
         F.arrays_zip(F.col("header").alias("column_name"), F.col("fields").alias("value")),
         lambda x: F.array_contains(names, x["column_name"]),
     )
-    return records.where("reason is null").select(*keep, F.inline(pairs).alias("column_name", "value"))
+    return records.select(*keep, F.inline_outer(F.when(F.col("reason").isNull(), pairs)).alias("column_name", "value"))
 
 
 def invalid_values(records: DataFrame, rules: tuple[ValueRule, ...] = CUSTOMER_RULES) -> DataFrame:
@@ -111,12 +110,12 @@ def invalid_values(records: DataFrame, rules: tuple[ValueRule, ...] = CUSTOMER_R
 
 def faulty_records(records: DataFrame, key: str, rules: tuple[ValueRule, ...] = CUSTOMER_RULES) -> DataFrame:
     """(key, line_no, reason) of the records that cannot be loaded: structural faults first, then ``invalid_value``."""
-    structural = records.where("reason is not null").select(key, "line_no", "reason")
-    values = _ruled_values(records, rules, key, "line_no")
-    invalid = durable(invalid_values(records, rules))
-    bad = join_by_value(values, invalid, ["column_name", "value"], "rows", "left_semi")
-    by_value = bad.select(key, "line_no").distinct().withColumn("reason", F.lit("invalid_value"))
-    return structural.unionByName(by_value)
+    invalid = durable(invalid_values(records, rules)).withColumn("fault", F.lit("invalid_value"))
+    values = _ruled_values(records, rules, key, "line_no", "reason")
+    marked = join_by_value(values, invalid, ["column_name", "value"], "rows", "left")
+    return (
+        marked.select(key, "line_no", F.coalesce("reason", "fault").alias("reason")).where("reason is not null").distinct()
+    )
 
 
 def loadable_records(records: DataFrame, key: str, rules: tuple[ValueRule, ...] = CUSTOMER_RULES) -> DataFrame:
