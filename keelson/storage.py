@@ -29,6 +29,22 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later reads survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder; later reads survive the loss of any executor.
+
+    It is a parquet table rather than ``checkpoint()``, since a checkpoint keeps the constraints of the plan it came
+    from, and those grow with every step of an iterative operator until planning takes longer than the work.
+    """
+    path = workspace(df.sparkSession, "step")
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; results that were not read yet become unreadable."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
