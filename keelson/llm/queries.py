@@ -4,17 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import components
+from keelson.llm import components, mixture, survivor
 from keelson.tables import table
 
 
+def _members(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, name) for name in ("vendor_duplicate_groups", "legacy_vendors", "source_systems")]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    won = survivor.survivors(survivor.member_values(*_members(spark, sf_dir)), votes="rank")
+    return won.select("group_id", "field_name", "legacy_vendor_id")
+
+
+def p3_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.golden_records(*_members(spark, sf_dir))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mixture_targets"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.vendor_groups(table(spark, sf_dir, "vendor_match_pairs"), table(spark, sf_dir, "legacy_vendors"))
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_golden": p3_golden,
     "p7_found": p7_found,
-}
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+}
 
 ORACLE = {
     "p7_found": """
