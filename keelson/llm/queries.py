@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import components, mixture, survivor
+from keelson.llm import canonical, components, leaks, mixture, reading, survivor
 from keelson.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vendors, reference = table(spark, sf_dir, "legacy_vendors"), table(spark, sf_dir, "country_reference")
+    return canonical.canonical_column(vendors, "legacy_vendor_id", "country", reference)
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vendors, reference = table(spark, sf_dir, "legacy_vendors"), table(spark, sf_dir, "country_reference")
+    return canonical.value_report(vendors, "legacy_vendor_id", "country", reference)
+
+
 def _members(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, name) for name in ("vendor_duplicate_groups", "legacy_vendors", "source_systems")]
 
@@ -21,6 +31,18 @@ def p3_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.golden_records(*_members(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
 
@@ -34,8 +56,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report,
     "p3_found": p3_found, "p3_golden": p3_golden,
     "p7_found": p7_found,
+    "p8_found": p8_found, "p8_passages": p8_passages,
+    "p10_found": p10_found,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
 
