@@ -17,13 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.llm.edits import edit_column
 from keelson.llm.survivor import STAND_INS
 from keelson.skew import blank_to_null, join_by_value
 from keelson.storage import durable
 
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "da", "nb", "fi", "cs", "sk", "sl", "hu", "tr"]
 OFFICIAL = ["republic of", "federal republic of", "kingdom of", "the", "commonwealth of"]
-LEAST_SCORE = 0.66
+LEAST_SCORE = 0.7
 NONE = "NONE"
 # Names and codes in use that the locale data lack.
 OTHER_NAMES = {
@@ -129,9 +130,9 @@ def _repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     pairs = ours.join(theirs, "key").select("token", "word").distinct()
     same_kind = F.col("token").startswith(" ") == F.col("word").startswith(" ")
     own, other = F.length(F.trim("token")), F.length(F.trim("word"))
-    edits = F.levenshtein("token", "word")
-    return pairs.where(same_kind & (edits <= _most_edits(F.least(own, other)))).select(
-        "token", "word", (1 - edits / F.greatest(own, other)).alias("sim")
+    counted = pairs.where(same_kind).withColumn("edits", edit_column(F.col("token"), F.col("word"), 2))
+    return counted.where(F.col("edits") <= _most_edits(F.least(own, other))).select(
+        "token", "word", (1 - F.col("edits") / F.greatest(own, other)).alias("sim")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import canonical, components, leaks, mixture, reading, survivor
+from keelson.llm import canonical, components, leaks, mixture, reading, survivor, variants
 from keelson.tables import table
 
 
@@ -51,6 +51,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mixture_targets"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.name_variants(table(spark, sf_dir, "legacy_vendors").where("load_no between 3 and 6"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.vendor_groups(table(spark, sf_dir, "vendor_match_pairs"), table(spark, sf_dir, "legacy_vendors"))
 
@@ -58,6 +62,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
     "p3_found": p3_found, "p3_golden": p3_golden,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_found": p8_found, "p8_passages": p8_passages,
     "p10_found": p10_found,
