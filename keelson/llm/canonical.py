@@ -84,15 +84,29 @@ def _most_edits(length: Column) -> Column:
     return F.when(length < 4, 0).when(length < 6, 1).otherwise(2)
 
 
+def _without_one(text: Column) -> Column:
+    """All texts made by leaving out one letter."""
+    n = F.length(text)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)))
+
+
+#: Letters from which on a token is keyed by its two ends instead of as a whole.
+LONG, END = 12, 6
+
+
 def _neighbourhood(token: Column) -> Column:
-    """The token with none, one or two of its letters left out; one for short tokens, none for very short ones."""
+    """Keys of which two tokens within the allowed edits share one: the token with none, one or two letters left out.
+
+    Of two edits in a long token at most one lies in its first or in its last letters, so its keys are both ends with
+    at most one letter left out; their number does not grow with the length.
+    """
     n = F.length(token)
-    drop = lambda text, i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
-    one = F.transform(F.sequence(F.lit(1), n), lambda i: drop(token, i))
-    two = F.flatten(F.transform(one, lambda t: F.transform(F.sequence(F.lit(1), n - 1), lambda i: drop(t, i))))
     nothing = F.array().cast("array<string>")
-    both = F.concat(F.when(n >= 4, one).otherwise(nothing), F.when(n >= 6, two).otherwise(nothing), F.array(token))
-    return F.array_distinct(both)
+    one = F.when((n >= 4) & (n < LONG), _without_one(token)).otherwise(nothing)
+    two = F.when((n >= 6) & (n < LONG), F.flatten(F.transform(one, _without_one))).otherwise(nothing)
+    ends = F.array(F.substring(token, F.lit(1), F.lit(END)), F.substring(token, n - (END - 1), F.lit(END)))
+    marked = F.flatten(F.transform(ends, lambda e, i: F.transform(_without_one(e), lambda k: F.concat(F.when(i == 0, "<").otherwise(">"), k))))
+    return F.array_distinct(F.when(n >= LONG + 2, marked).otherwise(F.concat(one, two, F.array(token), F.when(n >= LONG - 2, marked).otherwise(nothing))))
 
 
 def reference_vocabulary(reference: DataFrame) -> tuple[DataFrame, DataFrame]:
