@@ -69,7 +69,33 @@ QUERIES = {
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
 
+def _survivor_sql() -> str:
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in [*survivor.STAND_INS, *survivor.LABELS])
+    long = " UNION ALL ".join(
+        f"SELECT group_id, legacy_vendor_id, trust_rank, changed_at, '{f}' AS field_name, {f} AS v FROM j" for f in survivor.FIELDS
+    )
+    return rf"""
+WITH m AS (SELECT DISTINCT group_id, legacy_vendor_id FROM vendor_duplicate_groups WHERE group_id IS NOT NULL),
+d AS (SELECT DISTINCT legacy_vendor_id, source_system, changed_at, {", ".join(survivor.FIELDS)} FROM legacy_vendors),
+j AS (SELECT m.group_id, d.*, coalesce(trust_rank, 2147483647) AS trust_rank FROM m JOIN d USING (legacy_vendor_id) LEFT JOIN source_systems USING (source_system)),
+l AS ({long}),
+t AS (SELECT *, lower(regexp_replace(v, '\s+', '', 'g')) AS t, regexp_replace(v, '[^0-9]', '', 'g') AS n,
+  length(regexp_replace(v, '[^\p{{L}}]', '', 'g')) AS letters FROM l WHERE v IS NOT NULL),
+u AS (SELECT *, regexp_replace(t, '[.:;,!]+$', '') AS bare, len(list_distinct(string_split(n, ''))) > 1 AS varied FROM t),
+k AS (SELECT * FROM u WHERE bare <> '' AND bare NOT IN ({words}) AND CASE field_name
+  WHEN 'postal_code' THEN length(n) >= 3 AND length(t) <= 10 AND varied
+  WHEN 'tax_number' THEN length(n) >= 5 AND varied AND NOT starts_with(t, 'xx')
+  WHEN 'email' THEN regexp_matches(t, '^[^@\s]+@[^@\s]+\.[^@\s]{{2,}}$')
+  WHEN 'phone' THEN length(n) >= 7 AND varied AND letters = 0
+  WHEN 'street' THEN letters >= 3 AND n <> ''
+  ELSE letters >= 2 END)
+SELECT group_id, field_name, legacy_vendor_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust_rank, changed_at DESC NULLS LAST, legacy_vendor_id) AS r FROM k) WHERE r = 1
+"""
+
+
 ORACLE = {
+    "p3_found": _survivor_sql(),
     "p7_found": """
 WITH RECURSIVE known AS (SELECT DISTINCT upper(trim(legacy_vendor_id)) AS id FROM legacy_vendors),
 pairs AS (
