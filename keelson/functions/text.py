@@ -90,3 +90,25 @@ def csv_safe(c: Column) -> Column:
 def stable_id(prefix: str, *parts: Column) -> Column:
     digest = F.sha2(F.concat_ws("|", *parts), 256)
     return F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, 12)))
+
+
+def expand_synonyms(words: Column, synonyms: dict[str, str], replace: bool = False) -> Column:
+    """An array of words with each word's synonym after it, or in its place."""
+    table = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair))
+    if replace:
+        return F.transform(words, lambda w: F.coalesce(table[w], w))
+    return F.flatten(F.transform(words, lambda w: F.array_compact(F.array(w, table[w]))))
+
+
+def significant(c: Column, digits: int = 6) -> Column:
+    """Rounded to significant digits."""
+    return F.format_string(f"%.{digits - 1}e", c.cast("double")).cast("double")
+
+
+def has_cjk(c: Column) -> Column:
+    return c.rlike(r"[\x{4e00}-\x{9fff}]")
+
+
+def found_keywords(c: Column, keywords: list[str]) -> Column:
+    """The keywords that the text contains, sorted, whatever the case."""
+    return F.filter(F.array(*(F.lit(k) for k in sorted(keywords))), lambda k: F.contains(F.lower(c), F.lower(k)))

@@ -109,3 +109,15 @@ def canonical(rows: DataFrame, group: str, key: str, fields: list[str]) -> DataF
     filled = sum((F.col(f).isNotNull() & (F.trim(F.col(f).cast("string")) != "")).cast("int") for f in fields)
     best = F.min(F.struct((-filled).alias("minus"), F.col(key)))
     return rows.groupBy(group).agg(best.alias("b")).select(group, f"b.{key}", (-F.col("b.minus")).alias("filled"))
+
+
+def borderline_pairs(edges: DataFrame, groups: DataFrame, most: int = 25) -> DataFrame:
+    """(a, b, score) of the best scored pairs below the match threshold whose ends lie in different groups; records
+    without a group are groups of their own. A top-k report."""
+    left = groups.select(F.col("id").alias("a"), F.col("group_id").alias("ga"))
+    right = groups.select(F.col("id").alias("b"), F.col("group_id").alias("gb"))
+    apart = edges.where((F.col("score") < MATCH) & (F.col("score") >= BORDERLINE)).join(left, "a", "left").join(right, "b", "left")
+    # A record without a group is marked so that its id cannot be taken for a group's.
+    name = lambda group, ident: F.coalesce(F.col(group).cast("string"), F.concat(F.lit("record "), F.col(ident)))
+    other = name("ga", "a") != name("gb", "b")
+    return apart.where(other).select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(most)

@@ -49,3 +49,9 @@ def ranking_scores(cases: DataFrame, by: list[str]) -> DataFrame:
         F.avg(F.coalesce(third, F.lit(0))).alias("top3"),
         F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"),
     )
+
+
+def recall_by_level(truth: DataFrame, found: DataFrame, keys: list[str], level: str) -> DataFrame:
+    """(level, cases, recall): the share of true rows that were found, by a column of the truth."""
+    marked = truth.join(found.select(*keys, F.lit(1).alias("_hit")).distinct(), keys, "left")
+    return marked.groupBy(level).agg(F.count(F.lit(1)).alias("cases"), F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))

@@ -76,3 +76,62 @@ def suggest(candidates: DataFrame, most: int = 3) -> DataFrame:
 def unmapped(targets: DataFrame, decisions: DataFrame) -> DataFrame:
     """Targets without an approved decision (source, target, decision)."""
     return targets.join(decisions.where("decision = 'approved'").select("target").distinct(), "target", "left_anti")
+
+
+# Reach and weights of the neighbour window, and what makes an anchor and a supported resource.
+NEIGHBOUR_WEIGHTS = {1: 1.0, 2: 0.5}
+ANCHOR_SCORE, ANCHOR_MARGIN, LEAST_ANCHORS, LEAST_SUPPORT, CONTEXT_BONUS = 0.45, 0.05, 2, 0.60, 0.10
+# Words of field names that stand for a concept.
+CONCEPTS = {
+    "routing": ["clearing", "routing", "sort", "transit"], "institution": ["bank", "institution"],
+    "identifier": ["id", "identifier", "key", "ref", "reference"],
+}
+CHANNEL_BONUS = 0.10
+
+
+def resource_support(candidates: DataFrame, positions: DataFrame, resources: DataFrame) -> DataFrame:
+    """(source, resource, support): how much of the weight of a field's sure neighbours points to one resource.
+
+    ``positions``: (source, position) in the file; ``resources``: (target, resource). Neighbours are up to two places
+    away, and sure if their best target scores well and leads clearly. With fewer than two there is no support.
+    """
+    best = suggest(candidates, 1).where((F.col("score") >= ANCHOR_SCORE) & (F.coalesce("margin", F.col("score")) >= ANCHOR_MARGIN))
+    anchors = best.join(positions, "source").join(resources, "target").select(F.col("position").alias("at"), "resource")
+    steps = F.array(*(F.struct(F.lit(d * sign).alias("step"), F.lit(w).alias("weight")) for d, w in NEIGHBOUR_WEIGHTS.items() for sign in (1, -1)))
+    around = positions.select("source", "position", F.inline(steps)).withColumn("at", F.col("position") + F.col("step"))
+    near = around.join(anchors, "at").groupBy("source", "resource").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    window = Window.partitionBy("source")
+    found = near.withColumn("support", F.col("w") / F.sum("w").over(window)).withColumn("anchors", F.sum("n").over(window))
+    return found.where((F.col("anchors") >= LEAST_ANCHORS) & (F.col("support") >= LEAST_SUPPORT)).select("source", "resource", "support")
+
+
+def with_resource_context(candidates: DataFrame, support: DataFrame, resources: DataFrame) -> DataFrame:
+    """Raise the scores of targets in a supported resource, within what their type gate leaves."""
+    joined = candidates.join(resources, "target", "left").join(support, ["source", "resource"], "left")
+    bonus = CONTEXT_BONUS * F.coalesce("support", F.lit(0.0)) * F.col("gate") * (1 - F.col("score"))
+    return joined.withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + bonus), 4)).drop("support", "resource")
+
+
+def _has(words: Column, concept: str) -> Column:
+    return F.arrays_overlap(words, F.array(*(F.lit(w) for w in CONCEPTS[concept])))
+
+
+def with_concepts(candidates: DataFrame) -> DataFrame:
+    """Raise scores where both names are about routing (``diagnostic``), or both about keys of institutions."""
+    s, t = F.split(split_identifier(F.col("source")), " "), F.split(split_identifier(F.col("target")), " ")
+    routing = _has(s, "routing") & _has(t, "routing")
+    keys = _has(s, "identifier") & _has(s, "institution") & _has(t, "identifier") & _has(t, "institution")
+    active = routing.cast("int") + keys.cast("int")
+    raised = F.least(F.lit(1.0), F.col("score") + CHANNEL_BONUS * (1 - F.col("score")) * active)
+    return candidates.withColumn("base_score", F.col("score")).withColumn("score", F.round(raised, 4)).withColumn("diagnostic", routing)
+
+
+def tier_locked(candidates: DataFrame, most: int = 3) -> DataFrame:
+    """Rank by ``score``, but the best by ``base_score`` stays first unless a diagnostic candidate scores strictly more."""
+    by = Window.partitionBy("source")
+    base_first = F.row_number().over(by.orderBy(F.desc("base_score"), "target")) == 1
+    held = candidates.withColumn("_first", base_first)
+    held = held.withColumn("_bar", F.max(F.when(F.col("_first"), F.col("score"))).over(by))
+    challenger = F.col("diagnostic") & (F.col("score") > F.col("_bar"))
+    order = by.orderBy(F.when(challenger, 0).when(F.col("_first"), 1).otherwise(2), F.desc("score"), "target")
+    return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("_first", "_bar")

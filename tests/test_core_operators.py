@@ -138,3 +138,32 @@ def test_stream_of_changes(spark, tmp_path):
     apply_stream(stream, table.root, str(tmp_path / "c")).awaitTermination(60)
     got = {r["entity_id"]: r["current_status"] for r in cdc.current_state(cdc.BucketedTable.load(spark, table.root), spark).collect()}
     assert got == {"A": "Done", "B": "New"}
+
+
+def test_scores_from_context_and_concepts(spark):
+    rows = [("a", "t1", 0.9), ("b", "t2", 0.5), ("b", "x1", 0.5), ("c", "t3", 0.8), ("bank_sort_code", "routing_number", 0.6), ("bank_sort_code", "bank_name", 0.62)]
+    frame = spark.createDataFrame([(*r, 0.1, False, 1.0) for r in rows], "source string, target string, score double, lexical double, alias boolean, gate double")
+    positions = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("bank_sort_code", 9)], "source string, position int")
+    resources = spark.createDataFrame([("t1", "T"), ("t2", "T"), ("t3", "T"), ("x1", "X")], "target string, resource string")
+    support = mapping.resource_support(frame, positions, resources)
+    assert [tuple(r) for r in support.collect()] == [("b", "T", 1.0)]
+    raised = mapping.with_resource_context(frame, support, resources)
+    assert {r["target"]: r["score"] for r in raised.collect()}["t2"] == 0.55
+    ranked = {(r["source"], r["rank"]): r["target"] for r in mapping.tier_locked(mapping.with_concepts(raised)).collect()}
+    assert ranked["bank_sort_code", 1] == "routing_number" and ranked["b", 1] == "t2"
+
+
+def test_small_helpers(spark):
+    from keelson.operators import evaluate
+
+    assert one(spark, lambda c: text.expand_synonyms(F.split(c, " "), {"vat": "tax"}), "vat no") == [["vat", "tax", "no"]]
+    assert one(spark, lambda c: text.expand_synonyms(F.split(c, " "), {"vat": "tax"}, True), "vat no") == [["tax", "no"]]
+    assert one(spark, lambda c: text.significant(c, 3), "1234.5") == [1230.0]
+    assert one(spark, text.has_cjk, "状態", "a") == [True, False]
+    assert one(spark, lambda c: text.found_keywords(c, ["EDI", "api"]), "The API of EDI") == [["EDI", "api"]]
+    truth = spark.createDataFrame([("a", "clean"), ("b", "dirty"), ("c", "dirty")], "id string, level string")
+    got = {r["level"]: r["recall"] for r in evaluate.recall_by_level(truth, truth.where("id <> 'c'").select("id"), ["id"], "level").collect()}
+    assert got == {"clean": 1.0, "dirty": 0.5}
+    edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.96), ("b", "c", 0.8)], "a string, b string, score double")
+    groups = spark.createDataFrame([("a", 1), ("b", 1)], "id string, group_id int")
+    assert [tuple(r) for r in dedupe.borderline_pairs(edges, groups).collect()] == [("b", "c", 0.8)]
