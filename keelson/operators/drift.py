@@ -157,7 +157,10 @@ def column_profile(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
 
 
 def _beside_previous(counts: DataFrame, loads: DataFrame, by: list[str]) -> DataFrame:
-    """(load_no, by..., cur, prev): the rows of each category in a load and in the load before."""
+    """(load_no, by..., cur, prev): the rows of each category in a load and in the load before.
+
+    ``loads`` has one row per load number, so ordering it in one task and broadcasting it does not grow with the rows.
+    """
     ahead = loads.select("load_no", F.lead("load_no").over(Window.orderBy("load_no")).alias("next"))
     later = counts.join(F.broadcast(ahead.where("next is not null")), "load_no").select(
         F.col("next").alias("load_no"), *by, F.lit(0).cast("bigint").alias("cur"), F.col("n").alias("prev")

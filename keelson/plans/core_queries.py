@@ -31,7 +31,7 @@ def _profile_sql(name: str, columns: list[str]) -> str:
 WITH long AS ({parts}),
 f AS (SELECT field, count(*) AS records, count(*) FILTER (coalesce(trim(v), '') = '') AS missing,
   count(DISTINCT v) FILTER (coalesce(trim(v), '') <> '') AS distinct_values,
-  max(length(v)) FILTER (coalesce(trim(v), '') <> '') AS longest,
+  CAST(max(length(v)) FILTER (coalesce(trim(v), '') <> '') AS INT) AS longest,
   coalesce(avg(length(v)) FILTER (coalesce(trim(v), '') <> ''), 0) AS average_length FROM long GROUP BY field)
 SELECT field, records, missing, distinct_values, missing / records AS missing_ratio,
   CASE WHEN records > missing THEN distinct_values / (records - missing) ELSE 0.0 END AS distinct_ratio,
@@ -70,7 +70,7 @@ WITH v AS (SELECT 'c_name' AS field, c_name AS value FROM customer UNION ALL SEL
 s AS (SELECT field, value, string_split(regexp_replace(regexp_replace(value, '[A-Za-z]+', 'A', 'g'), '[0-9]+', 'D', 'g'), '') AS c FROM v),
 q AS (SELECT field, value, array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), '') AS signature FROM s),
 g AS (SELECT field, signature, count(*) AS n, min(value) AS example FROM q GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, signature) AS position FROM g)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, signature) AS INT) AS position FROM g)
 SELECT * FROM r WHERE position <= 6""")
 def signature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.signature_histogram(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
@@ -101,7 +101,7 @@ def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT user_id, event_type, event_id, position, first_row FROM (
-  SELECT *, row_number() OVER w AS position, min(event_id) OVER (PARTITION BY user_id, event_type) AS first_row
+  SELECT *, CAST(row_number() OVER w AS INT) AS position, min(event_id) OVER (PARTITION BY user_id, event_type) AS first_row
   FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)) WHERE position > 1""")
 def later_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
@@ -187,7 +187,7 @@ def parseability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_brand, p_partkey, p_retailprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
+SELECT p_brand, p_partkey, p_retailprice, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part)
 WHERE rank <= 3""")
 def top3_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
@@ -334,7 +334,7 @@ def blocking_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s1.s_suppkey AS a, s2.s_suppkey AS b, round(jaro_winkler_similarity(s1.s_name, s2.s_name), 6) AS similarity, levenshtein(s1.s_name, s2.s_name) AS edits
+SELECT s1.s_suppkey AS a, s2.s_suppkey AS b, round(jaro_winkler_similarity(s1.s_name, s2.s_name), 6) AS similarity, CAST(levenshtein(s1.s_name, s2.s_name) AS INT) AS edits
 FROM supplier s1 JOIN supplier s2 ON s1.s_nationkey = s2.s_nationkey AND s1.s_suppkey < s2.s_suppkey""")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier")
@@ -436,7 +436,7 @@ def dag_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label = q.label AS same,
   greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s) WHERE rank <= 5""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = retrieval.top_k(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
@@ -459,7 +459,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("label", "cases", *(F.round(c, 6).alias(c) for c in ("top1", "top3", "mrr")))
 
 
-@query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1")
+@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
 
