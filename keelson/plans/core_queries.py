@@ -333,6 +333,44 @@ def blocking_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.coverage(blocking_pairs(spark, sf_dir), truth)
 
 
+_USABLE = {
+    "tax": "CASE WHEN length(regexp_replace(tax_number, '[^0-9]', '')) = 9 THEN regexp_replace(tax_number, '[^0-9]', '') END",
+    "email": "CASE WHEN email LIKE '%@%.%' THEN lower(trim(email)) END",
+}
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of groups; the rules decide by themselves which values are usable."""
+    rows = table(spark, sf_dir, "vendor_duplicate_groups").select("legacy_vendor_id").distinct()
+    keyed = table(spark, sf_dir, "legacy_vendors").join(rows, "legacy_vendor_id", "left_semi")
+    return keyed.select("legacy_vendor_id", "tax_number", "email").distinct()
+
+
+_EITHER = r"""
+d AS (SELECT legacy_vendor_id AS id, regexp_replace(tax_number, '[^0-9]', '', 'g') AS digits, email AS mail FROM legacy_vendors
+  WHERE legacy_vendor_id IN (SELECT legacy_vendor_id FROM vendor_duplicate_groups)),
+t AS (SELECT DISTINCT id, digits AS v FROM d WHERE length(digits) = 9), e AS (SELECT DISTINCT id, lower(trim(mail)) AS v FROM d WHERE mail LIKE '%@%.%'),
+pairs AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.v = y.v AND x.id < y.id
+  UNION SELECT x.id, y.id FROM e x JOIN e y ON x.v = y.v AND x.id < y.id)"""
+
+
+@query(f"WITH {_EITHER} SELECT a, b FROM pairs")
+def blocking_pairs_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like blocking_pairs, also for members of which only the tax number or only the e-mail is usable."""
+    return dedupe.blocking_pairs(_members(spark, sf_dir), "legacy_vendor_id", {n: F.expr(e) for n, e in _USABLE.items()})
+
+
+@query(f"""
+WITH {_EITHER}, truth AS (SELECT DISTINCT x.legacy_vendor_id AS a, y.legacy_vendor_id AS b FROM vendor_duplicate_groups x
+  JOIN vendor_duplicate_groups y ON x.group_id = y.group_id AND x.legacy_vendor_id < y.legacy_vendor_id)
+SELECT count(*) AS true_pairs, count(p.a) AS covered, count(p.a) / count(*) AS recall_ceiling FROM truth LEFT JOIN pairs p USING (a, b)""")
+def blocking_coverage_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "vendor_duplicate_groups").select("group_id", "legacy_vendor_id").distinct()
+    left, right = groups.withColumnRenamed("legacy_vendor_id", "a"), groups.withColumnRenamed("legacy_vendor_id", "b")
+    truth = left.join(right, "group_id").where("a < b").select("a", "b")
+    return dedupe.coverage(blocking_pairs_either(spark, sf_dir), truth)
+
+
 @query("""
 SELECT s1.s_suppkey AS a, s2.s_suppkey AS b, round(jaro_winkler_similarity(s1.s_name, s2.s_name), 6) AS similarity, CAST(levenshtein(s1.s_name, s2.s_name) AS INT) AS edits
 FROM supplier s1 JOIN supplier s2 ON s1.s_nationkey = s2.s_nationkey AND s1.s_suppkey < s2.s_suppkey""")

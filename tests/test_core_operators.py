@@ -167,3 +167,14 @@ def test_small_helpers(spark):
     edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.96), ("b", "c", 0.8)], "a string, b string, score double")
     groups = spark.createDataFrame([("a", 1), ("b", 1)], "id string, group_id int")
     assert [tuple(r) for r in dedupe.borderline_pairs(edges, groups).collect()] == [("b", "c", 0.8)]
+
+
+def test_members_with_one_usable_value_are_blocked(spark, tmp_path):
+    from keelson.plans import core_queries
+
+    vendors = [("A", "DE123456789", None), ("B", "123 456 789", "b@x"), ("C", "12", "c@x.de"), ("D", None, " C@x.de"), ("E", "12", "b@x"), ("F", "123456789", "c@x.de")]
+    spark.createDataFrame(vendors, "legacy_vendor_id string, tax_number string, email string").write.parquet(f"{tmp_path}/legacy_vendors.parquet")
+    groups = [(1, "A"), (1, "B"), (2, "C"), (2, "D"), (3, "B"), (3, "E")]
+    spark.createDataFrame(groups, "group_id bigint, legacy_vendor_id string").write.parquet(f"{tmp_path}/vendor_duplicate_groups.parquet")
+    assert sorted(tuple(r) for r in core_queries.blocking_pairs_either(spark, str(tmp_path)).collect()) == [("A", "B"), ("C", "D")]
+    assert tuple(core_queries.blocking_coverage_either(spark, str(tmp_path)).first()) == (3, 2, 2 / 3)
