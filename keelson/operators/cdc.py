@@ -1,16 +1,19 @@
 """Applying a feed of inserts, updates and deletes to a bucketed table by copy-on-write.
 
-The table is a set of hash buckets of parquet files and a chain of manifests. One call of :func:`apply_changes`
-routes the changes to buckets, reads only the touched buckets, merges changes and base rows in sequence order,
-writes replacement files for these buckets and commits a new manifest that points to the replaced and to the
-untouched files. A failed job leaves no trace in the committed state, since the manifest is written last and renamed
-into place.
+The table is a set of hash buckets of parquet files and a chain of manifests. Each bucket has its snapshot (the base
+rows), a log of the changes applied since, and the state that follows from both. One call of :func:`apply_changes`
+routes the changes to buckets, adds them to the logs of the touched buckets, merges there the whole log and the
+snapshot in sequence order, writes replacement files of the state and commits a new manifest that points to the
+replaced and to the untouched files. Changes may therefore arrive in any order and in any number of calls. A failed
+job leaves no trace in the committed state, since the manifest is written last and renamed into place.
 
 The merge never sorts all changes of one key in one task. A change, a base row and any run of changes are all the
 same kind of thing, a function from the item's state before to its state after, kept as a struct (``cut``, ``ex``,
 ``st`` ...). Runs are composed first within ranges of ``2 ** RANGE_BITS`` sequence numbers, then level by level, so
 one key may hold any share of the feed. A base row acts as a change at its ``applied_sequence`` that fixes the state;
 changes at or below it are thereby without effect and no join between base and feed is needed.
+
+The log is never cut, since any change may still get an earlier one; its size grows with the feed.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ KIND_OF = {
     "d": "D", "del": "D", "delete": "D",
 }
 BASE_SCHEMA = "entity_id string, st string, of string, gone boolean, applied_sequence bigint, bucket int"
+LOG_SCHEMA = "entity_id string, sequence bigint, kind string, st string, of string"
 
 
 def _path(spark: SparkSession, path: str):
@@ -55,19 +59,27 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 
 @dataclass(frozen=True)
 class BucketedTable:
-    """A committed state: for each bucket the folder that holds its file; buckets without rows have none."""
+    """A committed state: for each bucket the folder that holds its file; buckets without rows have none.
+
+    ``snapshot`` holds the folders of the base rows, ``logs`` those of the changes applied since, ``span`` the lowest
+    and highest sequence among them."""
 
     root: str
     version: int
     buckets: int
     folders: dict[int, str] = field(default_factory=dict)
+    snapshot: dict[int, str] = field(default_factory=dict)
+    logs: dict[int, list[str]] = field(default_factory=dict)
+    span: tuple[int, int] | None = None
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return _read(spark, [p for _, p in sorted(self.folders.items())], BASE_SCHEMA)
 
-    def read(self, spark: SparkSession, only: set[int] | None = None) -> DataFrame:
-        paths = [p for b, p in sorted(self.folders.items()) if only is None or b in only]
-        return spark.read.schema(BASE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], BASE_SCHEMA)
+    def read_snapshot(self, spark: SparkSession, only: set[int]) -> DataFrame:
+        return _read(spark, [p for b, p in sorted(self.snapshot.items()) if b in only], BASE_SCHEMA)
 
     def commit(self, spark: SparkSession) -> BucketedTable:
-        text = {"version": self.version, "buckets": self.buckets, "folders": {str(b): p for b, p in self.folders.items()}}
+        text = {"version": self.version, "buckets": self.buckets, "folders": self.folders, "snapshot": self.snapshot, "logs": self.logs, "span": self.span}
         _put(spark, f"{self.root}/manifest-{self.version:08d}.json", json.dumps(text))
         return self
 
@@ -78,7 +90,14 @@ class BucketedTable:
         names = sorted(s.getPath().getName() for s in fs.listStatus(jpath))
         last = [n for n in names if n.startswith("manifest-") and n.endswith(".json")][-1]
         text = json.loads(spark.read.text(f"{root}/{last}", wholetext=True).first()[0])
-        return BucketedTable(root, text["version"], text["buckets"], {int(b): p for b, p in text["folders"].items()})
+        folders, snapshot, logs = ({int(b): p for b, p in text.get(k, {}).items()} for k in ("folders", "snapshot", "logs"))
+        # In a table of a version without logs, its state is all there is.
+        snapshot = snapshot if "snapshot" in text else folders
+        return BucketedTable(root, text["version"], text["buckets"], folders, snapshot, logs, tuple(text["span"]) if text.get("span") else None)
+
+
+def _read(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def _bucket(buckets: int) -> Column:
@@ -90,9 +109,10 @@ def entity_key(column: Column) -> Column:
     return F.upper(blank_to_null(F.regexp_replace(column, r"^[\s ]+|[\s ]+$", "")))
 
 
-def _write(rows: DataFrame, folder: str) -> dict[int, str]:
-    """Write the buckets of ``rows`` as files of their own; returns where each written bucket lies."""
-    rows.repartition("bucket").withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(folder)
+def _write(rows: DataFrame, folder: str, *spread: Column) -> dict[int, str]:
+    """Write the buckets of ``rows`` as files of their own, or as several each by ``spread``; returns where each written
+    bucket lies. What an uncommitted attempt left there is replaced."""
+    rows.repartition("bucket", *spread).withColumn("part", F.col("bucket")).write.partitionBy("part").mode("overwrite").parquet(folder)
     jpath, fs = _path(rows.sparkSession, folder)
     names = [s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory()]
     return {int(n.split("=")[1]): f"{folder}/{n}" for n in names if n.startswith("part=")}
@@ -121,7 +141,8 @@ def create_table(base: DataFrame, root: str | None = None, buckets: int | None =
             "entity_id", "row.st", "row.of", F.lit(False).alias("gone"), "row.applied_sequence", _bucket(buckets).alias("bucket")
         )
     )
-    return BucketedTable(root, 0, buckets, _write(rows, f"{root}/v0")).commit(spark)
+    written = _write(rows, f"{root}/v0")
+    return BucketedTable(root, 0, buckets, written, written).commit(spark)
 
 
 def _effect(kind: Column, st: Column, of: Column) -> Column:
@@ -195,23 +216,25 @@ def apply_changes(table: BucketedTable, changes: DataFrame) -> BucketedTable:
 
     Rows with the same entity and sequence are one change; its values are taken from whichever copies have them (the
     largest, should copies differ). An insert of an existing item acts as an update, an update of an item that does
-    not exist and changes at or below the base row's applied_sequence have no effect. Deleted items stay in the
-    files as tombstones, so that changes that arrive later with smaller numbers stay without effect. An empty feed
-    returns the table as it is.
+    not exist and changes at or below the base row's applied_sequence have no effect. Each call merges all changes so
+    far, so any split of a feed over calls, in any order, gives the state of the feed at once. An empty feed returns
+    the table as it is.
     """
     spark = changes.sparkSession
-    feed = normalise_changes(changes)
-    facts = feed.agg(
-        F.collect_set(_bucket(table.buckets)).alias("touched"), F.min("sequence").alias("low"), F.max("sequence").alias("high")
-    ).first()
-    touched = set(facts["touched"])
+    version = table.version + 1
+    piece = F.shiftright("sequence", RANGE_BITS)
+    logged = _write(normalise_changes(changes).withColumn("bucket", _bucket(table.buckets)), f"{table.root}/log{version}", piece)
+    touched = set(logged)
     if not touched:
         return table
-    base = table.read(spark, touched).select(
+    facts = _read(spark, list(logged.values()), LOG_SCHEMA).agg(F.min("sequence").alias("low"), F.max("sequence").alias("high")).first()
+    low, high = (facts["low"], facts["high"]) if table.span is None else (min(facts["low"], table.span[0]), max(facts["high"], table.span[1]))
+    logs = table.logs | {b: [*table.logs.get(b, []), p] for b, p in logged.items()}
+    feed = _read(spark, [p for b in sorted(touched) for p in logs[b]], LOG_SCHEMA)
+    base = table.read_snapshot(spark, touched).select(
         "entity_id", F.col("applied_sequence").alias("sequence"),
         F.when(F.col("gone"), "T").otherwise("S").alias("kind"), "st", "of", F.lit(1).alias("turn"),
     )
-    piece = F.shiftright("sequence", RANGE_BITS)
     one_each = (
         feed.withColumn("turn", F.lit(0)).unionByName(base)
         .withColumn("piece", piece)
@@ -222,7 +245,7 @@ def apply_changes(table: BucketedTable, changes: DataFrame) -> BucketedTable:
     )
     effect = _effect(F.col("kind"), F.col("st"), F.col("of"))
     parts = _compose(one_each.withColumn("effect", effect), ["entity_id", "piece"])
-    span = (facts["high"] >> RANGE_BITS) - (facts["low"] >> RANGE_BITS)
+    span = (high >> RANGE_BITS) - (low >> RANGE_BITS)
     while span >> RANGE_BITS:
         parts = _compose(parts.withColumn("piece", F.shiftright("piece", RANGE_BITS)), ["entity_id", "piece"])
         span >>= RANGE_BITS
@@ -230,9 +253,8 @@ def apply_changes(table: BucketedTable, changes: DataFrame) -> BucketedTable:
         "entity_id", "effect.st", "effect.of", (~F.col("effect.ex")).alias("gone"),
         F.col("sequence").alias("applied_sequence"), _bucket(table.buckets).alias("bucket"),
     )
-    version = table.version + 1
     written = _write(merged, f"{table.root}/v{version}")
-    return BucketedTable(table.root, version, table.buckets, table.folders | written).commit(spark)
+    return BucketedTable(table.root, version, table.buckets, table.folders | written, table.snapshot, logs, (low, high)).commit(spark)
 
 
 def current_state(table: BucketedTable, spark: SparkSession) -> DataFrame:

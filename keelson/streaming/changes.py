@@ -11,7 +11,8 @@ from keelson.operators.cdc import BucketedTable, apply_changes
 
 def apply_stream(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Start applying a stream of changes to the table at ``root``. Each micro-batch commits one version; a batch that
-    is repeated after a failure changes nothing, since its sequence numbers are then already applied."""
+    is repeated after a failure changes nothing, since its changes are then already in the table. Changes may come late
+    and in any order; the state is always that of all changes so far."""
 
     def apply(batch: DataFrame, _: int) -> None:
         apply_changes(BucketedTable.load(batch.sparkSession, root), batch)

@@ -66,3 +66,23 @@ def test_versions_keep_untouched_buckets(spark):
     assert rows(cdc.current_state(after, spark))["K1"] == ("Done", "T0")
     again = cdc.apply_changes(after, feed)
     assert rows(cdc.current_state(again, spark)) == rows(cdc.current_state(after, spark))
+
+
+def test_any_split_of_a_feed_equals_replay_at_once(spark):
+    draw = random.Random(8)
+    base = [(f"A{i}", "Open", "T-5", draw.choice([None, 10]), "x") for i in range(4)]
+    feed = [
+        ("A0", 50, "U", "Done", None, ""), ("NEW", 60, "U", "Late", None, ""), ("A1", 55, "D", None, None, ""), ("CUT", 70, None, "copy", "T9", ""),
+        ("A0", 40, "U", None, "T-1", ""), ("NEW", 45, "I", "First", "T2", ""), ("A1", 54, "U", "x", "T3", ""), ("CUT", 70, "I", None, None, ""),
+    ]
+    first = [feed[:4], feed[4:]]
+    more = [(draw.choice(["A0", "A1", "A2", "A3", "B", "C"]), q, draw.choice("IUD"), draw.choice(["a", None]), draw.choice(["T1", None]), "") for q in range(1, 60_000, 997)]
+    draw.shuffle(more)
+    for parts in (first, [more[i::4] for i in range(4)]):
+        table = cdc.create_table(spark.createDataFrame(base, BASE))
+        for part in parts:
+            cdc.apply_changes(cdc.BucketedTable.load(spark, table.root), spark.createDataFrame(part, FEED))
+        got = rows(cdc.current_state(cdc.BucketedTable.load(spark, table.root), spark))
+        assert got == rows(cdc.replay(spark.createDataFrame(base, BASE), spark.createDataFrame(sum(parts, []), FEED)))
+        if parts is first:
+            assert got["A0"] == ("Done", "T-1") and got["NEW"] == ("Late", "T2") and got["CUT"] == ("copy", "T9") and "A1" not in got
