@@ -4,8 +4,9 @@ Records are sharded by what identifies them besides the name: tax number, e-mail
 shard puts the words of its names into a trie and walks it with the Levenshtein automaton of every word, which gives
 the names that share a nearly equal word; their words are then matched in any order, with abbreviations, initials,
 dropped vowels, nicknames and joined words, while legal forms and fillers are left aside. Shards that hold very many
-records (a desk, a service office) are cut further by word segments: within two edits at least one of three segments
-stays whole, so index and probe words still meet. Direct links are consolidated into groups, whose members are paired.
+records (a desk, a service office) are cut further by keys of the words: words with few edits share a deletion, longer
+ones a segment that stays whole, so index and probe words still meet and the result is that of a shard left whole.
+Direct links are consolidated into groups, whose members are paired.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from keelson.llm.survivor import usable
 from keelson.skew import join_by_value
 from keelson.storage import durable
 
-#: Records of a shard above which it is cut by word segments.
+#: Records of a shard above which it is cut by keys of its words.
 LARGE_SHARD = 200
+#: Rows of sub-shards that are handed on together.
+ROWS_AT_ONCE = 50_000
 #: Days between the creation dates of two records that share nothing but the postal code and a fitting name.
 NEAR_DAYS = 366
 # Legal forms, as words without dots.
@@ -160,24 +163,62 @@ def _words_fit(a: list[str], b: list[str]) -> bool:
     return full and not set(free) - begun
 
 
-def _segments(size: int) -> list[tuple[int, int]]:
-    cut = [0, size // 3, size - (size + 1) // 3, size]
-    return list(zip(cut, cut[1:], strict=False))
+def _deletions(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out; words within ``most`` edits, swaps included, have one in common."""
+    last = found = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
 
 
-def index_keys(word: str) -> list[str]:
-    """The keys of a word in the index of a large shard: its three segments, with their place and the word's length."""
-    return [f"{len(word)}.{i}.{word[a:b]}" for i, (a, b) in enumerate(_segments(len(word)))]
+def _segments(size: int, most: int) -> list[tuple[int, int]]:
+    """``most + 1`` segments with a letter left out between neighbours, so that no edit, nor a swap, hits two of them."""
+    cut = [(size - most) * i // (most + 1) for i in range(most + 2)]
+    return [(a + i, b + i) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
 
 
-def probe_keys(word: str, most: int = 3) -> list[str]:
-    """The keys under which a word finds all words within ``most`` edits that leave a segment whole."""
+#: Edits up to which deletions are the keys; words that may have more are long enough for segments.
+MOST_DELETED = 2
+
+
+@lru_cache(maxsize=20_000)
+def index_keys(word: str) -> frozenset[str]:
+    """The keys of a word in the index of a large shard, for each number of edits with which a probe may look for it."""
     keys = set()
-    for size in range(max(3, len(word) - most), len(word) + most + 1):
-        for i, (a, b) in enumerate(_segments(size)):
+    for most in {most_edits(size) for size in range(max(4, len(word) - 3), len(word) + 4) if abs(size - len(word)) <= most_edits(size)}:
+        if most <= MOST_DELETED:
+            keys |= {f"{most}-{d}" for d in _deletions(word, most)}
+        else:
+            keys |= {f"{len(word)}.{i}.{word[a:b]}" for i, (a, b) in enumerate(_segments(len(word), most))}
+    return frozenset(keys)
+
+
+@lru_cache(maxsize=20_000)
+def probe_keys(word: str) -> frozenset[str]:
+    """The keys under which a word meets the index keys of all words within ``most_edits`` of it."""
+    most = most_edits(len(word))
+    if len(word) < 4:
+        return frozenset()
+    if most <= MOST_DELETED:
+        return frozenset(f"{most}-{d}" for d in _deletions(word, most))
+    keys = set()
+    for size in range(len(word) - most, len(word) + most + 1):
+        for i, (a, b) in enumerate(_segments(size, most)):
             for start in range(max(0, a - most), min(len(word) - (b - a), a + most) + 1):
                 keys.add(f"{size}.{i}.{word[start : start + b - a]}")
-    return sorted(keys)
+    return frozenset(keys)
+
+
+@lru_cache(maxsize=100_000)
+def _meeting(probe: str, word: str) -> str:
+    """The one key under which two words are compared, of those they have in common."""
+    return min(probe_keys(probe) & index_keys(word))
+
+
+def _parts(words: list[str]) -> set[str]:
+    """The words by which names find each other: each word, and all of them written as one."""
+    return {*words, "".join(words)}
 
 
 def evidence(vendors: DataFrame) -> DataFrame:
@@ -205,16 +246,17 @@ def _street_key(street):
 
 
 def _link_shard(rows: list[tuple]) -> Iterator[tuple[str, str]]:
-    """Pairs of ids of one shard whose names fit. rows: (kind, id, name, created, role); role is 1 for index rows, 2
-    for probes, 3 for both."""
+    """Pairs of ids of one shard whose names fit. rows: (kind, id, name, created, role, part); role is 1 for index rows,
+    2 for probes, 3 for both; part is the key of a sub-shard, which compares only the words that meet under it."""
     people = defaultdict(list)
-    for kind, ident, name, created, role in rows:
+    part = rows[0][5] if rows else None
+    for kind, ident, name, created, role, _ in rows:
         people[name].append((kind, ident, created, role))
     words = {name: name_words(name) for name in people}
     holders = defaultdict(set)
     for name, members in people.items():
         if any(m[3] & 1 for m in members):
-            for word in {*words[name], "".join(words[name])}:
+            for word in _parts(words[name]):
                 holders[word].add(name)
     if len(people) == 1:
         return
@@ -223,9 +265,12 @@ def _link_shard(rows: list[tuple]) -> Iterator[tuple[str, str]]:
         if not any(m[3] & 2 for m in members):
             continue
         candidates = set()
-        for word in {*words[name], "".join(words[name])}:
-            for near in tree.near(word, most_edits(len(word))) if len(word) >= 4 else ():
-                candidates |= holders[near]
+        for word in _parts(words[name]):
+            if len(word) < 4 or (part and part not in probe_keys(word)):
+                continue
+            for near in tree.near(word, most_edits(len(word))):
+                if not part or (part in index_keys(near) and part == _meeting(word, near)):
+                    candidates |= holders[near]
         for other in candidates:
             if other != name and names_fit(words[name], words[other]):
                 for kind, ident, created, _ in members:
@@ -240,7 +285,7 @@ def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, shard = [], None
     for batch in batches:
         out = []
-        for key, *row in batch[["shard", "kind", "id", "name", "created", "role"]].itertuples(index=False, name=None):
+        for key, *row in batch[["shard", "kind", "id", "name", "created", "role", "part"]].itertuples(index=False, name=None):
             if key != shard:
                 out += set(_link_shard(held))
                 held, shard = [], key
@@ -250,15 +295,19 @@ def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cut_large(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of large shards as index and probe rows of sub-shards by word segments."""
+    """Rows of large shards as index and probe rows of sub-shards by the keys of the words."""
+    columns = ["kind", "id", "name", "created", "shard", "role", "part"]
     for batch in batches:
         out = []
-        for kind, ident, name, created, shard in batch[["kind", "id", "name", "created", "shard"]].itertuples(index=False, name=None):
-            own = {w for w in name_words(name) if len(w) >= 4}
+        for kind, ident, name, created, shard in batch[columns[:5]].itertuples(index=False, name=None):
+            own = _parts(name_words(name))
             index = {k for w in own for k in index_keys(w)}
             probe = {k for w in own for k in probe_keys(w)}
-            out += [(kind, ident, name, created, f"{shard}#{k}", (k in index) + 2 * (k in probe)) for k in index | probe]
-        yield pd.DataFrame(out, columns=["kind", "id", "name", "created", "shard", "role"])
+            out += [(kind, ident, name, created, f"{shard}#{k}", (k in index) + 2 * (k in probe), k) for k in index | probe]
+            if len(out) > ROWS_AT_ONCE:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
 
 def direct_links(vendors: DataFrame) -> DataFrame:
@@ -266,8 +315,8 @@ def direct_links(vendors: DataFrame) -> DataFrame:
     rows = durable(evidence(vendors))
     sizes = durable(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")))
     sized = join_by_value(rows, sizes, ["shard"], "n")
-    small = sized.where(F.col("size") <= LARGE_SHARD).select("kind", "id", "name", "created", "shard", F.lit(3).alias("role"))
-    schema = "kind string, id string, name string, created date, shard string, role int"
+    small = sized.where(F.col("size") <= LARGE_SHARD).select("kind", "id", "name", "created", "shard", F.lit(3).alias("role"), F.lit(None).cast("string").alias("part"))
+    schema = "kind string, id string, name string, created date, shard string, role int, part string"
     large = sized.where(F.col("size") > LARGE_SHARD).select("kind", "id", "name", "created", "shard").mapInPandas(_cut_large, schema)
     sharded = small.unionByName(large).repartition("shard").sortWithinPartitions("shard")
     return sharded.mapInPandas(_link_batches, "a string, b string").distinct()

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from keelson.llm import canonical, edits, survivor, variants
@@ -72,3 +73,25 @@ def test_name_variants_and_large_shards(spark, monkeypatch):
         monkeypatch.setattr(variants, "LARGE_SHARD", large)
         assert {tuple(r) for r in variants.name_variants(frame).collect()} == expected
     assert variants.name_variants(frame.limit(0)).count() == 0
+
+
+def test_large_shards_give_what_small_ones_give(spark, monkeypatch):
+    pairs = [("Hans Meier", "HANSMEIER"), ("Maschinenbau", "Mxschixenbxu"), ("Talsen", "Tlaesn"), ("Quorvin", "Quorvni"), ("Abcd Zelmark", "Zelmark Xbcd"), ("Kolm", "Kol")]
+    rows = [vendor(f"{k}{side}", name, phone=f"+49 555 {9_135_702 + 13 * k}") for k, pair in enumerate(pairs) for side, name in zip("AB", pair, strict=True)]
+    found = []
+    for large in (200, 1):
+        monkeypatch.setattr(variants, "LARGE_SHARD", large)
+        found.append({tuple(r) for r in variants.name_variants(spark.createDataFrame(rows, VENDOR)).collect()})
+    assert found[0] == found[1] >= {(f"{k}A", f"{k}B") for k in range(5)}
+
+
+def test_words_within_reach_meet_under_a_key():
+    draw = random.Random(6)
+    for _ in range(3000):
+        word = "".join(draw.choice("abcde") for _ in range(draw.randrange(4, 18)))
+        other = word
+        for _ in range(variants.most_edits(len(word))):
+            at = draw.randrange(len(other) - 1)
+            other = draw.choice([other[:at] + other[at + 1 :], other[:at] + "z" + other[at:], other[:at] + "z" + other[at + 1 :], other[:at] + other[at + 1] + other[at] + other[at + 2 :]])
+        if edits.edits(word, other, 3) <= variants.most_edits(len(word)):
+            assert variants.probe_keys(word) & variants.index_keys(other), (word, other)
