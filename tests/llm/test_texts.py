@@ -22,6 +22,29 @@ def test_leaks(spark):
     assert leaks.leaked_items(frame, items.limit(0)).count() == 0 and leaks.leaked_items(frame.limit(0), items).count() == 0
 
 
+def test_leaks_of_repeated_items_and_shared_runs(spark, monkeypatch):
+    letters = "bcdfghjklmnpqrstvwxz"
+    own = lambda i, k: letters[i % 20] + "a" + letters[i // 20] + "e" + letters[k]
+    phrase = "please answer the following question in full and well formed sentences and give reasons for every step you take in it"
+    common = " ".join(ITEM.split()[:24])
+    texts = {i: " ".join(own(i, k) for k in range(20)) for i in range(80)}
+    texts |= {i: f"{phrase} {texts[i]}" for i in range(20)} | {i: f"{texts[i]} {common}" for i in range(20, 23)}
+    texts |= {100: ITEM + " every year", 101: ITEM.upper() + " every year!", 102: "**" + ITEM + "** every year"}
+    docs = [(1, f"x {ITEM} every year y"), (2, phrase), (3, common), (4, texts[3])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame(list(texts.items()), "item_id bigint, item_text string")
+    expected = {(1, i) for i in (100, 101, 102, 20, 21, 22)} | {(3, i) for i in (100, 101, 102, 20, 21, 22)} | {(4, 3)}
+    for size in (20_000, 30):
+        monkeypatch.setattr(leaks, "ITEMS_PER_PASS", size)
+        assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(frame, items).collect()} == expected
+    # Words of a set phrase count behind others of the item.
+    monkeypatch.setattr(leaks, "FEW_HOLDERS", 1)
+    monkeypatch.setattr(leaks, "SET_PHRASE_SHARE", 0.0)
+    pair = spark.createDataFrame([(1, f"{texts[30][:47]} {phrase}"), (2, f"{texts[31][:47]} {phrase}")], "item_id bigint, item_text string")
+    found = leaks.leaked_items(spark.createDataFrame([(1, f"{texts[30][:47]} {phrase}"), (2, phrase)], "doc_id bigint, text string"), pair)
+    assert [(r["doc_id"], r["item_id"], r["words"]) for r in found.collect()] == [(1, 1, 8 + len(phrase.split()))]
+
+
 def test_reduced_offsets():
     text = "Ä<b>b</b> ﬁ-\nx"
     assert leaks.reduced(text) == "abfix" and len(leaks.reduced_offsets(text)) == 5
