@@ -40,7 +40,7 @@ def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def vendor_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["legacy_vendor_id", "city", "currency", "created_date", "tax", "email", "phone"]
-    vendors = table(spark, sf_dir, "legacy_vendors").where("load_no = 1")
+    vendors = table(spark, sf_dir, "legacy_vendors")
     shaped = vendors.select(
         "legacy_vendor_id", F.lower(F.trim("city")).alias("city"), "currency", "created_date",
         F.when(F.length(text.digits(F.col("tax_number"))) == 9, text.digits(F.col("tax_number"))).alias("tax"),
@@ -135,8 +135,20 @@ def unsupported_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH n AS (SELECT DISTINCT legacy_vendor_id, vendor_name FROM legacy_vendors WHERE vendor_name IS NOT NULL AND load_no = 2)
 SELECT legacy_vendor_id, vendor_name <> lower(vendor_name) AS has_case, contains(vendor_name, '&') AS has_ampersand, regexp_matches(vendor_name, '[.,()-]') AS has_punctuation, contains(vendor_name, '  ') AS has_spaces FROM n""")
 def name_writing_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _writing_tags(table(spark, sf_dir, "legacy_vendors").where("load_no = 2"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT legacy_vendor_id, vendor_name FROM legacy_vendors WHERE vendor_name IS NOT NULL)
+SELECT legacy_vendor_id, vendor_name <> lower(vendor_name) AS has_case, contains(vendor_name, '&') AS has_ampersand, regexp_matches(vendor_name, '[.,()-]') AS has_punctuation, contains(vendor_name, '  ') AS has_spaces FROM n""")
+def name_writing_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like name_writing_tags, of the names of all loads."""
+    return _writing_tags(table(spark, sf_dir, "legacy_vendors"))
+
+
+def _writing_tags(vendors: DataFrame) -> DataFrame:
     name = F.col("vendor_name")
-    rows = table(spark, sf_dir, "legacy_vendors").where("vendor_name is not null and load_no = 2").select("legacy_vendor_id", "vendor_name").distinct()
+    rows = vendors.where("vendor_name is not null").select("legacy_vendor_id", "vendor_name").distinct()
     return rows.select(
         "legacy_vendor_id", (name != F.lower(name)).alias("has_case"), name.contains("&").alias("has_ampersand"),
         name.rlike(r"[.,()\-]").alias("has_punctuation"), name.contains("  ").alias("has_spaces"),
