@@ -31,7 +31,8 @@ from keelson.storage import durable
 LARGE_SHARD = 200
 #: Rows of sub-shards that are handed on together.
 ROWS_AT_ONCE = 50_000
-#: Days between the creation dates of two records that share nothing but the postal code and a fitting name.
+#: Days between the creation dates of two records that share nothing but the postal code and a fitting name; a missing
+#: date is no obstacle if the names match in full.
 NEAR_DAYS = 366
 # Legal forms, as words without dots.
 LEGAL = set(
@@ -115,8 +116,9 @@ def word_match(a: str, b: str) -> str:
     return ""
 
 
-def names_fit(a: list[str], b: list[str]) -> bool:
-    """Whether the words of two names match in any order, at least one longer word in full.
+def names_fit(a: list[str], b: list[str]) -> str:
+    """``full`` if the words of two names match in any order and all in full, ``part`` if at least one longer word does
+    and others are short forms, else empty.
 
     Neighbouring words may be written as one. An initial also stands for a word that follows the one it begins.
     """
@@ -144,23 +146,26 @@ def _places(word: str, following: str, b: list[str], free: list[int], i: int) ->
     return best
 
 
-def _words_fit(a: list[str], b: list[str]) -> bool:
+def _words_fit(a: list[str], b: list[str]) -> str:
     if not a or not b:
-        return False
+        return ""
     if len(b) < len(a):
         a, b = b, a
-    free, full, i = list(range(len(b))), False, 0
+    free, full, all_full, i = list(range(len(b))), False, True, 0
     begun: set[int] = set()
     while i < len(a):
         places, kind, used = _places(a[i], a[i + 1] if i + 1 < len(a) else "", b, free, i)
         if not places:
-            return False
+            return ""
+        all_full = all_full and kind == "full"
         free = [j for j in free if j not in places]
         full = full or (kind == "full" and min(len(a[i]), len(b[places[0]])) >= 4)
         if len(a[i]) <= 2:
             begun.add(places[-1] + 1)
         i += used
-    return full and not set(free) - begun
+    if not full or set(free) - begun:
+        return ""
+    return "full" if all_full and not free else "part"
 
 
 def _deletions(word: str, most: int) -> set[str]:
@@ -272,10 +277,12 @@ def _link_shard(rows: list[tuple]) -> Iterator[tuple[str, str]]:
                 if not part or (part in index_keys(near) and part == _meeting(word, near)):
                     candidates |= holders[near]
         for other in candidates:
-            if other != name and names_fit(words[name], words[other]):
+            fit = names_fit(words[name], words[other]) if other != name else ""
+            if fit:
                 for kind, ident, created, _ in members:
                     for _, other_id, other_created, _ in people[other]:
-                        far = kind == "Z" and (not created or not other_created or abs((created - other_created).days) > NEAR_DAYS)
+                        known = created and other_created
+                        far = kind == "Z" and (abs((created - other_created).days) > NEAR_DAYS if known else fit != "full")
                         if ident != other_id and not far:
                             yield min(ident, other_id), max(ident, other_id)
 

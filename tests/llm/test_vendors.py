@@ -95,3 +95,11 @@ def test_words_within_reach_meet_under_a_key():
             other = draw.choice([other[:at] + other[at + 1 :], other[:at] + "z" + other[at:], other[:at] + "z" + other[at + 1 :], other[:at] + other[at + 1] + other[at] + other[at + 2 :]])
         if edits.edits(word, other, 3) <= variants.most_edits(len(word)):
             assert variants.probe_keys(word) & variants.index_keys(other), (word, other)
+
+
+def test_missing_dates_at_one_postal_code(spark):
+    rows = [
+        vendor("A", "Quorvin Labortechnik GmbH", postal="53111", created="20200101"), vendor("B", "Labortechnik Quorvni", postal="53111", created=None),
+        vendor("C", "Quorvin L. GmbH", postal="53111", created="unknown"), vendor("D", "Zelmark Tools", postal="53112", created="20200101"), vendor("E", "Tools Zelmark", postal="53112", created="20220101"),
+    ]
+    assert {tuple(r) for r in variants.name_variants(spark.createDataFrame(rows, VENDOR)).collect()} == {("A", "B")}
