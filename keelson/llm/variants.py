@@ -120,29 +120,33 @@ def names_fit(a: list[str], b: list[str]) -> str:
     """``full`` if the words of two names match in any order and all in full, ``part`` if at least one longer word does
     and others are short forms, else empty.
 
-    Neighbouring words may be written as one. An initial also stands for a word that follows the one it begins.
+    Neighbouring words may be written as one. An initial also stands for a word that follows the one it begins. Names
+    of the same words, or of the same letters in a row, match however short their words are.
     """
+    if a and b and (sorted(a) == sorted(b) or "".join(a) == "".join(b)):
+        return "full"
     if EITHER in a or EITHER in b:
         bare = [[w for w in words if w != EITHER] for words in (a, b)]
         return _words_fit(a, b) or _words_fit(*bare)
     return _words_fit(a, b)
 
 
-def _places(word: str, following: str, b: list[str], free: list[int], i: int) -> tuple[list[int], str, int]:
-    """The words of ``b`` that ``word`` matches, how, and the words of ``a`` used up; full matches come first."""
+def _places(word: str, following: str, b: list[str], free: list[int], i: int) -> tuple[list[int], str, int, int]:
+    """The words of ``b`` that ``word`` matches, how, the words of ``a`` used up, and the letters of the shorter side as
+    written in one; full matches come first."""
     near = sorted(free, key=lambda j: abs(i - j))
     whole = [(j, [j], word, b[j], 1) for j in near]
     joined = [(j, [j, j + 1], word, b[j] + b[j + 1], 1) for j in near if j + 1 in free]
     taken = [(j, [j], word + following, b[j], 2) for j in near] if following else []
-    best: tuple[list[int], str, int] = ([], "", 1)
-    letters = 0
+    best: tuple[list[int], str, int, int] = ([], "", 1, 0)
     for _, places, x, y, used in [*whole, *joined, *taken]:
         kind = word_match(x, y)
+        letters = min(len(x), len(y))
         if kind == "full":
-            return places, kind, used
+            return places, kind, used, letters
         # Of abbreviations the one that accounts for most letters is taken.
-        if kind and min(len(x), len(y)) > letters:
-            best, letters = (places, kind, used), min(len(x), len(y))
+        if kind and letters > best[3]:
+            best = (places, kind, used, letters)
     return best
 
 
@@ -154,12 +158,12 @@ def _words_fit(a: list[str], b: list[str]) -> str:
     free, full, all_full, i = list(range(len(b))), False, True, 0
     begun: set[int] = set()
     while i < len(a):
-        places, kind, used = _places(a[i], a[i + 1] if i + 1 < len(a) else "", b, free, i)
+        places, kind, used, letters = _places(a[i], a[i + 1] if i + 1 < len(a) else "", b, free, i)
         if not places:
             return ""
         all_full = all_full and kind == "full"
         free = [j for j in free if j not in places]
-        full = full or (kind == "full" and min(len(a[i]), len(b[places[0]])) >= 4)
+        full = full or (kind == "full" and letters >= 4)
         if len(a[i]) <= 2:
             begun.add(places[-1] + 1)
         i += used
@@ -191,7 +195,7 @@ MOST_DELETED = 2
 def index_keys(word: str) -> frozenset[str]:
     """The keys of a word in the index of a large shard, for each number of edits with which a probe may look for it."""
     keys = set()
-    for most in {most_edits(size) for size in range(max(4, len(word) - 3), len(word) + 4) if abs(size - len(word)) <= most_edits(size)}:
+    for most in {most_edits(size) for size in range(1, len(word) + 4) if abs(size - len(word)) <= most_edits(size)}:
         if most <= MOST_DELETED:
             keys |= {f"{most}-{d}" for d in _deletions(word, most)}
         else:
@@ -203,8 +207,6 @@ def index_keys(word: str) -> frozenset[str]:
 def probe_keys(word: str) -> frozenset[str]:
     """The keys under which a word meets the index keys of all words within ``most_edits`` of it."""
     most = most_edits(len(word))
-    if len(word) < 4:
-        return frozenset()
     if most <= MOST_DELETED:
         return frozenset(f"{most}-{d}" for d in _deletions(word, most))
     keys = set()
@@ -271,7 +273,7 @@ def _link_shard(rows: list[tuple]) -> Iterator[tuple[str, str]]:
             continue
         candidates = set()
         for word in _parts(words[name]):
-            if len(word) < 4 or (part and part not in probe_keys(word)):
+            if part and part not in probe_keys(word):
                 continue
             for near in tree.near(word, most_edits(len(word))):
                 if not part or (part in index_keys(near) and part == _meeting(word, near)):

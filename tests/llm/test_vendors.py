@@ -103,3 +103,12 @@ def test_missing_dates_at_one_postal_code(spark):
         vendor("C", "Quorvin L. GmbH", postal="53111", created="unknown"), vendor("D", "Zelmark Tools", postal="53112", created="20200101"), vendor("E", "Tools Zelmark", postal="53112", created="20220101"),
     ]
     assert {tuple(r) for r in variants.name_variants(spark.createDataFrame(rows, VENDOR)).collect()} == {("A", "B")}
+
+
+def test_names_of_short_words(spark, monkeypatch):
+    pairs = [("SAP AG", "SAP SE"), ("Kai Ott", "Ott, Kai"), ("Li Fang", "Lifang")]
+    rows = [vendor(f"{k}{side}", name, tax=f"DE{135_702_468 + k}") for k, pair in enumerate(pairs) for side, name in zip("AB", pair, strict=True)]
+    rows += [vendor("XA", "Kai Ott", tax="DE246813579"), vendor("XB", "Kai Utz", tax="DE246813579")]
+    for large in (200, 1):
+        monkeypatch.setattr(variants, "LARGE_SHARD", large)
+        assert {tuple(r) for r in variants.name_variants(spark.createDataFrame(rows, VENDOR)).collect()} == {(f"{k}A", f"{k}B") for k in range(3)}
