@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators import cdc, csv_records, drift
+from keelson.storage import durable
 from keelson.tables import table
 
 
@@ -30,10 +31,17 @@ def p2_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return csv_records.split_records(table(spark, sf_dir, "mapping_job_payloads"), "job_id", "csv_text")
+    """The records of all texts, cut once and written."""
+    payloads = table(spark, sf_dir, "mapping_job_payloads")
+    return durable(csv_records.split_records(payloads, "job_id", "csv_text", mark="LC-").drop("raw"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_rejects(spark, sf_dir).drop("details")
+
+
+def p4_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_found with what is wrong with which column."""
     return csv_records.faulty_records(_records(spark, sf_dir), "job_id")
 
 
@@ -50,7 +58,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_profile": p2_profile, "p2_tests": p2_tests,
-    "p4_found": p4_found, "p4_loaded": p4_loaded,
+    "p4_found": p4_found, "p4_rejects": p4_rejects, "p4_loaded": p4_loaded,
     "p5_found": p5_found,
 }
 
@@ -85,4 +93,25 @@ FROM ids LEFT JOIN live l ON l.entity_id = ids.entity_id AND l.kind <> 'D' AND (
 GROUP BY ids.entity_id
 """
 
-ORACLE = {"p5_found": _P5_STATE}
+_FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^",\r\n]*)'
+_RECORDS = rf"""
+t AS (SELECT job_id, string_split(replace(csv_text, chr(65279), ''), chr(10)) AS lines FROM mapping_job_payloads WHERE csv_text IS NOT NULL),
+s AS (SELECT job_id, lines, rtrim(lines[1], chr(13)) AS head, list_filter(range(2, len(lines) + 1), lambda i: starts_with(lines[i], 'LC-')) AS starts FROM t),
+p AS (SELECT job_id, head, starts[k] AS line_no, array_to_string(lines[starts[k] : coalesce(starts[k + 1] - 1, len(lines))], chr(10)) AS raw
+  FROM s, unnest(range(1, len(starts) + 1)) AS u(k)),
+f AS (SELECT job_id, line_no, string_split(head, ',') AS header, regexp_matches(raw, '^{_FIELD}(?:,{_FIELD})*(?:\r?\n|\r?\z)') AS whole,
+  regexp_extract_all(',' || regexp_extract(raw, '^({_FIELD}(?:,{_FIELD})*)(?:\r?\n|\r?\z)', 1), ',({_FIELD})', 1) AS quoted FROM p),
+r AS (SELECT job_id, line_no, header, whole, list_transform(quoted, lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS fields FROM f),
+c AS (SELECT *, fields[list_position(header, 'contact_email')] AS email, fields[list_position(header, 'nation')] AS nation,
+  fields[list_position(header, 'account_currency')] AS currency, fields[list_position(header, 'marketing_opt_in')] AS opt_in, fields[list_position(header, 'client_name')] AS name FROM r),
+w AS (SELECT job_id, line_no, header, fields, CASE WHEN NOT whole THEN 'quoting' WHEN len(fields) <> len(header) THEN 'column_count'
+  WHEN (email <> '' AND NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')) OR NOT regexp_matches(nation, '^[A-Z]{{2}}\z') OR NOT regexp_matches(currency, '^[A-Z]{{3}}\z')
+  OR (opt_in <> '' AND lower(opt_in) NOT IN ('true', 'false', 'yes', 'no', 'y', 'n', '0', '1'))
+  OR regexp_matches(name, '[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}\x{{fffd}}]') THEN 'invalid_value' END AS reason FROM c)"""
+
+ORACLE = {
+    "p4_found": f"WITH {_RECORDS} SELECT job_id, line_no, reason FROM w WHERE reason IS NOT NULL",
+    "p4_loaded": f"""WITH {_RECORDS} SELECT job_id, line_no, fields[1] AS legacy_client_id, CAST(to_json(map_from_entries(list_zip(header, fields))) AS VARCHAR) AS record
+FROM w WHERE reason IS NULL""",
+    "p5_found": _P5_STATE,
+}

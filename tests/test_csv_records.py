@@ -4,9 +4,9 @@ HEAD = "legacy_client_id,client_name,nation,contact_email,account_currency,marke
 GOOD = 'LC-1,"Ann ""A"", Co",DE,a@b.cd,EUR,yes'
 
 
-def found(spark, *texts):
+def found(spark, *texts, mark="LC-"):
     frame = spark.createDataFrame([(i, t, "other") for i, t in enumerate(texts)], "job_id bigint, csv_text string, raw string")
-    records = c.split_records(frame, "job_id", "csv_text")
+    records = c.split_records(frame, "job_id", "csv_text", mark)
     bad = {(r["job_id"], r["line_no"]): r["reason"] for r in c.faulty_records(records, "job_id").collect()}
     good = {(r["job_id"], r["line_no"]): r["record"] for r in c.loadable_records(records, "job_id").collect()}
     return bad, good
@@ -32,3 +32,16 @@ def test_empty_header_only_null_and_missing_columns(spark):
 
 def test_empty_table(spark):
     assert found(spark) == ({}, {})
+
+
+def test_empty_opt_in_is_left_out_and_faults_are_named(spark):
+    frame = spark.createDataFrame([(1, HEAD + "\nLC-1,n,de,a,EUR,\nLC-2,n,DE,,EUR,")], "job_id bigint, csv_text string")
+    bad = c.faulty_records(c.split_records(frame, "job_id", "csv_text", "LC-"), "job_id").collect()
+    assert [(r["line_no"], r["details"]) for r in bad] == [(2, ["contact_email: not an e-mail address", "nation: not two capital letters"])]
+
+
+def test_texts_without_mark(spark):
+    text = 'client_name,nation\r\n"two\r\n""lines""",DE\r\n\r\nplain,AT\r\n"open,DE\r\nnext,DE\nshort\n7\ue000x,de\n"12\ue000\n13\ue000",FR'
+    bad, good = found(spark, text, mark=None)
+    assert {k[1]: v for k, v in bad.items()} == {6: "quoting", 8: "column_count", 9: "invalid_value"}
+    assert {k[1]: v["client_name"] for k, v in good.items()} == {2: 'two\r\n"lines"', 5: "plain", 7: "next", 10: "12\ue000\n13\ue000"}
