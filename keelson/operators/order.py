@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,23 @@ def global_row_number(rows: DataFrame, order: list[str], name: str = "row_number
 
 def greedy_alignment(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """The one-to-one pairs that taking the best pair again and again would give (order: score descending, left,
-    right). In each round all pairs that are the best of both their ends are taken at once, which gives the same
-    result; the pairs of the ends taken are dropped, until none is left."""
-    open_pairs = durable(pairs.select(left, right, score).where(f"{score} is not null").distinct())
-    taken: DataFrame | None = None
-    while open_pairs.limit(1).count():
-        order = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
-        by_left = open_pairs.groupBy(left).agg(F.min(order).alias("b")).select(F.col("b.l").alias(left), F.col("b.r").alias(right))
-        by_right = open_pairs.groupBy(right).agg(F.min(order).alias("b")).select(F.col("b.l").alias(left), F.col("b.r").alias(right))
-        new = durable(open_pairs.join(by_left, [left, right], "left_semi").join(by_right, [left, right], "left_semi"))
-        taken = new if taken is None else taken.unionByName(new)
+    right).
+
+    A pair scored repeatedly counts with its highest score; pairs without score or without an end are left out. In
+    each round all pairs that are the best of both their ends are taken at once, which gives the same result; the
+    pairs of the ends taken are dropped, until none is left. Scores that fall along a chain of pairs need a round for
+    every second pair of it. No pairs give no rows.
+    """
+    scored = pairs.where(F.col(score).isNotNull() & F.col(left).isNotNull() & F.col(right).isNotNull())
+    open_pairs = durable(scored.groupBy(left, right).agg(F.max(score).alias(score)))
+    taken: list[DataFrame] = []
+    order = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+    while not open_pairs.isEmpty():
+        ends = [open_pairs.groupBy(end).agg(F.min(order).alias("b")).select("b.l", "b.r") for end in (left, right)]
+        both = ends[0].join(ends[1], ["l", "r"], "left_semi").select(F.col("l").alias(left), F.col("r").alias(right))
+        new = durable(open_pairs.join(both, [left, right], "left_semi"))
+        taken.append(new)
         open_pairs = durable(
             open_pairs.join(new.select(left), left, "left_anti").join(new.select(right), right, "left_anti")
         )
-    return open_pairs if taken is None else taken
+    return reduce(DataFrame.unionByName, taken, open_pairs).select(left, right, score)

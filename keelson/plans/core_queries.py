@@ -179,9 +179,9 @@ def normalization_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT count(*) FILTER (try_cast(created_date AS BIGINT) IS NOT NULL) AS integers, count(*) FILTER (try_cast(created_date AS DOUBLE) IS NOT NULL) AS numbers,
-  count(*) FILTER (try_strptime(created_date, '%Y%m%d') IS NOT NULL) AS dates FROM legacy_vendors WHERE length(created_date) = 8""")
+  count(*) FILTER (length(created_date) = 8 AND try_strptime(created_date, '%Y%m%d') IS NOT NULL) AS dates FROM legacy_vendors""")
 def parseability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "legacy_vendors").where("length(created_date) = 8")
+    rows = table(spark, sf_dir, "legacy_vendors")
     kinds = {"integers": "integer", "numbers": "number", "dates": "date"}
     return rows.agg(*(F.count_if(validate.parses_as(F.col("created_date"), k)).alias(n) for n, k in kinds.items()))
 
@@ -299,40 +299,6 @@ def prf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.set_scores(_pairs(spark, sf_dir, 0.9), _pairs(spark, sf_dir, 0.97), ["a", "b"])
 
 
-_RULES = {"tax": "regexp_replace(tax_number, '[^0-9]', '')", "email": "lower(trim(email))"}
-
-
-def _vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "vendor_duplicate_groups").select("legacy_vendor_id").distinct()
-    keyed = table(spark, sf_dir, "legacy_vendors").join(rows, "legacy_vendor_id", "left_semi")
-    columns = ["legacy_vendor_id", "tax_number", "email"]
-    keyed = keyed.select(*columns).distinct()
-    return keyed.where("length(regexp_replace(tax_number, '[^0-9]', '')) = 9 and email like '%@%.%'")
-
-
-_BLOCKED = r"""
-k AS (SELECT DISTINCT legacy_vendor_id AS id, regexp_replace(tax_number, '[^0-9]', '', 'g') AS tax, lower(trim(email)) AS email FROM legacy_vendors
-  WHERE legacy_vendor_id IN (SELECT legacy_vendor_id FROM vendor_duplicate_groups) AND length(regexp_replace(tax_number, '[^0-9]', '', 'g')) = 9 AND email LIKE '%@%.%'),
-pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.tax = y.tax AND x.id < y.id
-  UNION SELECT x.id, y.id FROM k x JOIN k y ON x.email = y.email AND x.id < y.id)"""
-
-
-@query(f"WITH {_BLOCKED} SELECT a, b FROM pairs")
-def blocking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.blocking_pairs(_vendors(spark, sf_dir), "legacy_vendor_id", {n: F.expr(e) for n, e in _RULES.items()})
-
-
-@query(f"""
-WITH {_BLOCKED}, truth AS (SELECT DISTINCT x.legacy_vendor_id AS a, y.legacy_vendor_id AS b FROM vendor_duplicate_groups x
-  JOIN vendor_duplicate_groups y ON x.group_id = y.group_id AND x.legacy_vendor_id < y.legacy_vendor_id)
-SELECT count(*) AS true_pairs, count(p.a) AS covered, count(p.a) / count(*) AS recall_ceiling FROM truth LEFT JOIN pairs p USING (a, b)""")
-def blocking_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "vendor_duplicate_groups").select("group_id", "legacy_vendor_id").distinct()
-    left, right = groups.withColumnRenamed("legacy_vendor_id", "a"), groups.withColumnRenamed("legacy_vendor_id", "b")
-    truth = left.join(right, "group_id").where("a < b").select("a", "b")
-    return dedupe.coverage(blocking_pairs(spark, sf_dir), truth)
-
-
 _USABLE = {
     "tax": "CASE WHEN length(regexp_replace(tax_number, '[^0-9]', '')) = 9 THEN regexp_replace(tax_number, '[^0-9]', '') END",
     "email": "CASE WHEN email LIKE '%@%.%' THEN lower(trim(email)) END",
@@ -346,7 +312,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("legacy_vendor_id", "tax_number", "email").distinct()
 
 
-_EITHER = r"""
+_BLOCKED = r"""
 d AS (SELECT legacy_vendor_id AS id, regexp_replace(tax_number, '[^0-9]', '', 'g') AS digits, email AS mail FROM legacy_vendors
   WHERE legacy_vendor_id IN (SELECT legacy_vendor_id FROM vendor_duplicate_groups)),
 t AS (SELECT DISTINCT id, digits AS v FROM d WHERE length(digits) = 9), e AS (SELECT DISTINCT id, lower(trim(mail)) AS v FROM d WHERE mail LIKE '%@%.%'),
@@ -354,21 +320,20 @@ pairs AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.v = y.v AND x.id <
   UNION SELECT x.id, y.id FROM e x JOIN e y ON x.v = y.v AND x.id < y.id)"""
 
 
-@query(f"WITH {_EITHER} SELECT a, b FROM pairs")
-def blocking_pairs_either(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like blocking_pairs, also for members of which only the tax number or only the e-mail is usable."""
+@query(f"WITH {_BLOCKED} SELECT a, b FROM pairs")
+def blocking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.blocking_pairs(_members(spark, sf_dir), "legacy_vendor_id", {n: F.expr(e) for n, e in _USABLE.items()})
 
 
 @query(f"""
-WITH {_EITHER}, truth AS (SELECT DISTINCT x.legacy_vendor_id AS a, y.legacy_vendor_id AS b FROM vendor_duplicate_groups x
+WITH {_BLOCKED}, truth AS (SELECT DISTINCT x.legacy_vendor_id AS a, y.legacy_vendor_id AS b FROM vendor_duplicate_groups x
   JOIN vendor_duplicate_groups y ON x.group_id = y.group_id AND x.legacy_vendor_id < y.legacy_vendor_id)
 SELECT count(*) AS true_pairs, count(p.a) AS covered, count(p.a) / count(*) AS recall_ceiling FROM truth LEFT JOIN pairs p USING (a, b)""")
-def blocking_coverage_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocking_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = table(spark, sf_dir, "vendor_duplicate_groups").select("group_id", "legacy_vendor_id").distinct()
     left, right = groups.withColumnRenamed("legacy_vendor_id", "a"), groups.withColumnRenamed("legacy_vendor_id", "b")
     truth = left.join(right, "group_id").where("a < b").select("a", "b")
-    return dedupe.coverage(blocking_pairs_either(spark, sf_dir), truth)
+    return dedupe.coverage(blocking_pairs(spark, sf_dir), truth)
 
 
 @query("""

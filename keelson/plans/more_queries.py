@@ -31,9 +31,16 @@ def sequence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(F.format_string("EX-%06d", "row_number").alias("id"), "o_orderkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE best AS (SELECT unique_id_l AS l, unique_id_r AS r, max(match_probability) AS p FROM vendor_match_pairs
+  WHERE unique_id_l <> unique_id_r AND match_probability IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (ORDER BY p DESC, l, r) AS i FROM best),
+g AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::DOUBLE AS p, false AS taken, []::VARCHAR[] AS lefts, []::VARCHAR[] AS rights
+  UNION ALL SELECT i, l, r, p, fresh, CASE WHEN fresh THEN list_append(lefts, l) ELSE lefts END, CASE WHEN fresh THEN list_append(rights, r) ELSE rights END FROM (
+    SELECT n.*, g.lefts, g.rights, NOT list_contains(g.lefts, n.l) AND NOT list_contains(g.rights, n.r) AS fresh FROM g JOIN n ON n.i = g.i + 1))
+SELECT l AS unique_id_l, r AS unique_id_r, p AS match_probability FROM g WHERE taken""")
 def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "vendor_match_pairs").where("unique_id_l is not null and unique_id_r is not null and unique_id_l <> unique_id_r")
+    pairs = table(spark, sf_dir, "vendor_match_pairs").where("unique_id_l <> unique_id_r")
     return order.greedy_alignment(pairs, "unique_id_l", "unique_id_r", "match_probability")
 
 
@@ -131,24 +138,12 @@ def unsupported_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.size(F.filter("evidence", lambda x: ~F.lower(x).contains("record"))).cast("bigint").alias("unsupported"))
 
 
-@query("""
-WITH n AS (SELECT DISTINCT legacy_vendor_id, vendor_name FROM legacy_vendors WHERE vendor_name IS NOT NULL AND load_no = 2)
-SELECT legacy_vendor_id, vendor_name <> lower(vendor_name) AS has_case, contains(vendor_name, '&') AS has_ampersand, regexp_matches(vendor_name, '[.,()-]') AS has_punctuation, contains(vendor_name, '  ') AS has_spaces FROM n""")
-def name_writing_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _writing_tags(table(spark, sf_dir, "legacy_vendors").where("load_no = 2"))
-
-
 @query("""
 WITH n AS (SELECT DISTINCT legacy_vendor_id, vendor_name FROM legacy_vendors WHERE vendor_name IS NOT NULL)
 SELECT legacy_vendor_id, vendor_name <> lower(vendor_name) AS has_case, contains(vendor_name, '&') AS has_ampersand, regexp_matches(vendor_name, '[.,()-]') AS has_punctuation, contains(vendor_name, '  ') AS has_spaces FROM n""")
-def name_writing_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like name_writing_tags, of the names of all loads."""
-    return _writing_tags(table(spark, sf_dir, "legacy_vendors"))
-
-
-def _writing_tags(vendors: DataFrame) -> DataFrame:
+def name_writing_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("vendor_name")
-    rows = vendors.where("vendor_name is not null").select("legacy_vendor_id", "vendor_name").distinct()
+    rows = table(spark, sf_dir, "legacy_vendors").where("vendor_name is not null").select("legacy_vendor_id", "vendor_name").distinct()
     return rows.select(
         "legacy_vendor_id", (name != F.lower(name)).alias("has_case"), name.contains("&").alias("has_ampersand"),
         name.rlike(r"[.,()\-]").alias("has_punctuation"), name.contains("  ").alias("has_spaces"),

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 HOT_FRACTION = 0.001
 #: Parts that the rows of a hot key are spread over.
 SALTS = 64
-#: Most rows of a lookup that is broadcast as a whole; the count is taken first.
+#: Most rows and most bytes of a lookup that is broadcast as a whole; both are counted first.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 32 * 2**20
+
+
+def row_bytes(rows: DataFrame) -> Column:
+    """About how many bytes a row takes: the text columns as they are, 8 for any other."""
+    kinds = dict(rows.dtypes)
+    sizes = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c))) if k.startswith(("array", "map", "struct")) else F.col(c).cast("string")), F.lit(0)) for c, k in kinds.items()]
+    return sum(sizes, F.lit(8 * len(sizes)))
 
 
 def join_by_value(
@@ -18,26 +26,23 @@ def join_by_value(
 ) -> DataFrame:
     """Join ``rows`` with ``lookup`` (unique on ``keys``), whose ``count_column`` says how many rows have that key.
 
-    ``lookup`` is read several times, so it should be a written table. If it has at most ``BROADCAST_ROWS`` rows it is
-    broadcast. Otherwise both sides are shuffled once, and the rows of hot keys are spread over ``SALTS`` parts; the
-    hot keys themselves are at most ``1 / HOT_FRACTION``, whatever the size of the data. ``how`` is ``inner``,
-    ``left`` or ``left_semi``. NULL keys match nothing.
+    ``lookup`` is read several times, so it should be a written table. If it has at most ``BROADCAST_ROWS`` rows and
+    ``BROADCAST_BYTES`` bytes it is broadcast. Otherwise both sides are shuffled once, and the rows of hot keys are
+    spread over ``SALTS`` parts. Of the hot keys, at most ``1 / HOT_FRACTION`` whatever the size of the data, only a
+    hash of 8 bytes is broadcast; a key that shares the hash of a hot one is spread as well, on both sides alike.
+    ``how`` is ``inner``, ``left`` or ``left_semi``. NULL keys match nothing.
     """
-    facts = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(count_column).alias("total")).first()
-    if facts["n"] <= BROADCAST_ROWS:
+    facts = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(count_column).alias("total"), F.sum(row_bytes(lookup)).alias("bytes")).first()
+    if facts["n"] <= BROADCAST_ROWS and (facts["bytes"] or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(lookup.drop(count_column)), keys, how)
-    is_hot = F.col(count_column) >= F.lit(facts["total"] * HOT_FRACTION)
-    hot = lookup.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    mark = F.xxhash64(*keys).alias("_mark")
+    hot = lookup.where(F.col(count_column) >= F.lit(facts["total"] * HOT_FRACTION)).select(mark, F.lit(True).alias("_hot")).distinct()
+    marked = lambda df: df.withColumn("_mark", mark).join(F.broadcast(hot), "_mark", "left").drop("_mark")
     spread = F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SALTS)).cast("int")
-    salted = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(
-        lookup.withColumn("_salt", F.explode(copies)).drop(count_column), [*keys, "_salt"], how
-    ).drop("_salt")
+    salted = marked(rows).withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread_lookup = marked(lookup).withColumn("_salt", F.explode(copies)).drop("_hot", count_column)
+    return salted.join(spread_lookup, [*keys, "_salt"], how).drop("_salt")
 
 
 def blank_to_null(column: Column) -> Column:

@@ -1,11 +1,14 @@
 """Durable intermediate results.
 
 Lineage is cut only through files in the folder that all executors share: the one the session names in
-``spark.checkpoint.dir``. A folder of our own is made only where that setting is empty (tests, one machine).
+``spark.checkpoint.dir``. A folder of our own is made only where that setting is empty on one machine (tests, bench),
+and it is removed when the process ends; on a cluster the missing setting is an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,11 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets the context's checkpoint folder as well if nobody did."""
+    """The shared folder of the session; sets the context's checkpoint folder as well if nobody did.
+
+    Raises ValueError where executors run on other machines and no folder is named, since no folder of this machine
+    would do."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="keelson-")
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="keelson-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path.rstrip("/")

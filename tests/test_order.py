@@ -21,7 +21,8 @@ def test_greedy_alignment_equals_one_by_one(spark):
             left.add(a)
             right.add(b)
             expected.add((a, b, s))
-    frame = spark.createDataFrame([*rows, rows[0], ("p1", "t1", None)], "l string, r string, s double")
+    worse = [(a, b, s - 0.01) for a, b, s in rows[:20]]
+    frame = spark.createDataFrame([*rows, *worse, rows[0], ("p1", "t1", None), (None, "t1", 1.0)], "l string, r string, s double")
     assert {tuple(x) for x in order.greedy_alignment(frame, "l", "r", "s").collect()} == expected
     assert order.greedy_alignment(frame.limit(0), "l", "r", "s").count() == 0
 
