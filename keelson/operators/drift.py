@@ -2,16 +2,18 @@
 
 The rows are read once and reduced to (load, column, value) counts before the first shuffle ends; everything else
 works on these counts: missing ratio, distinct count, lengths, ranges, patterns and value mix. Column patterns are
-induced by minimum description length from the shapes of all distinct values. Two successive loads are compared by
-tests whose threshold is in standard deviations, so the result does not depend on the size of a load.
+induced by minimum description length from the shapes of all distinct values; their sums are taken per shape, then
+per coarser reading, and joined back, so no task ever holds all shapes of a column. Two successive loads are compared
+by tests whose threshold is in standard deviations, so the result does not depend on the size of a load.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.skew import blank_to_null
 from keelson.storage import durable
 
 #: Standard deviations beyond which a difference is more than chance (about 1 in 10 million per test).
@@ -22,6 +24,10 @@ CHAR_BITS = 8.0
 #: Bits for the length of one run, where a pattern leaves it open.
 RUN_BITS = 3.0
 BITS_OF = {"A": 4.7, "a": 4.7, "9": 3.32, "w": 5.7}
+#: Marks an open run in a reading, until it becomes the + of an expression; a + of the values themselves stays apart.
+RUN = "\ue001"
+_BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\xa0\u2007\u202f\u3000"
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
 def value_counts(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
@@ -31,28 +37,24 @@ def value_counts(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
     """
     slim = rows.select(F.col(load).cast("bigint").alias("load_no"), *(F.col(c).cast("string").alias(c) for c in columns))
     long = slim.unpivot(["load_no"], columns, "column_name", "value")
-    value = F.regexp_replace(blank_to_null(F.col("value")), r"^\s+|\s+$", "")
+    value = F.nullif(F.btrim(F.col("value"), F.lit(_BLANK)), F.lit(""))
     return long.withColumn("value", value).groupBy("load_no", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shape(value: Column) -> Column:
-    """Each letter as A or a, each digit as 9, all else as it is."""
+    """Each letter as A or a, each digit from 0 to 9 as 9, all else as it is."""
+    ascii_shape = F.translate(value, _UPPER + _LOWER + _DIGITS, "A" * 26 + "a" * 26 + "9" * 10)
     upper = F.regexp_replace(value, r"\p{Lu}", "A")
-    return F.regexp_replace(F.regexp_replace(upper, r"[\p{L}&&[^\p{Lu}]]", "a"), r"\p{Nd}", "9")
+    any_shape = F.regexp_replace(F.regexp_replace(upper, r"[\p{L}&&[^\p{Lu}]]", "a"), r"\d", "9")
+    return F.when(F.octet_length(value) == F.length(value), ascii_shape).otherwise(any_shape)
 
 
 def shape_counts(values: DataFrame) -> DataFrame:
-    """The value counts reduced to shapes: rows, distinct values, values seen once, length, smallest and largest."""
+    """(load_no, column_name, s1, n, d, length): the value counts reduced to shapes, with rows and distinct values."""
     return (
         values.where("value is not null")
         .groupBy("load_no", "column_name", shape(F.col("value")).alias("s1"))
-        .agg(
-            F.sum("n").alias("n"),
-            F.count(F.lit(1)).alias("d"),
-            F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
         .withColumn("length", F.length("s1"))
     )
 
@@ -74,52 +76,64 @@ def induce_patterns(shapes: DataFrame) -> DataFrame:
     (letters of either case as one open run). The coarser reading replaces the finer ones below it where the bits for
     the fewer patterns plus the open run lengths are less than the bits for the many exact patterns. A pattern is
     adopted only if it saves more than it costs against writing its values out, so shapes of a few odd values stay
-    without a pattern: their rows are the nonconforming ones.
+    without a pattern: their rows are the nonconforming ones. Every pattern matches all values of its shapes.
     """
-    s = (
-        shapes.groupBy("column_name", "s1")
-        .agg(F.sum("d").alias("d"))
-        .withColumn("s2", F.regexp_replace("s1", r"(A|a|9)\1*", "$1+"))
-        .withColumn("s3", F.regexp_replace(F.regexp_replace("s2", r"(?:A\+|a\+)+", "w+"), r"w\+(?: w\+)*", "w+"))
+    d, s1, s2, s3 = (F.col(c) for c in ("d", "s1", "s2", "s3"))
+    code = lambda n: n * F.log2(F.col("all") / n)
+    # One row per column of the table.
+    totals = shapes.groupBy("column_name").agg(F.sum("d").alias("all"))
+    each = durable(
+        shapes.groupBy("column_name", "s1").agg(F.sum("d").alias("d"))
+        .withColumn("s2", F.regexp_replace("s1", r"(A|a|9)\1*", f"$1{RUN}"))
+        .withColumn("s3", F.regexp_replace(F.regexp_replace("s2", f"(?:[Aa]{RUN})+", f"w{RUN}"), f"w{RUN}(?: w{RUN})*", f"w{RUN}"))
+        .join(F.broadcast(totals), "column_name")
+    )
+    told = d * _bits(s1, True)
+    fine = each.groupBy("column_name", "all", "s2", "s3").agg(
+        F.sum("d").alias("d"),
+        F.sum(CHAR_BITS * F.length(s1) + code(d) + d * _bits(s1, False)).alias("exact"),
+        F.sum(d * (_bits(s1, False) + RUN_BITS * _symbols(s2, RUN))).alias("spread"),
+        F.sum(d * (_bits(s1, True) + RUN_BITS * _symbols(s3, RUN) + RUN_BITS * _symbols(s1, " "))).alias("words"),
+        F.sum(d * CHAR_BITS * F.length(s1)).alias("plain"),
+        F.sum(told).alias("told"),
     )
-    all_of = Window.partitionBy("column_name")
-    fine, middle = Window.partitionBy("column_name", "s2"), Window.partitionBy("column_name", "s3")
-    runs2, runs3 = _symbols(F.col("s2"), "+"), _symbols(F.col("s3"), "+")
-    code = lambda d, total: d * F.log2(total / d)
-    s = s.withColumn("all", F.sum("d").over(all_of)).withColumn("d2", F.sum("d").over(fine)).withColumn("d3", F.sum("d").over(middle))
-    exact = CHAR_BITS * F.length("s1") + code(F.col("d"), F.col("all")) + F.col("d") * _bits(F.col("s1"), False)
-    spread = F.col("d") * (_bits(F.col("s1"), False) + RUN_BITS * runs2)
-    words = F.col("d") * (_bits(F.col("s1"), True) + RUN_BITS * runs3 + RUN_BITS * _symbols(F.col("s1"), " "))
-    s = (
-        s.withColumn("exact", F.sum(exact).over(fine))
-        .withColumn("open", CHAR_BITS * F.length("s2") + code(F.col("d2"), F.col("all")) + F.sum(spread).over(fine))
-        .withColumn("best2", F.least("exact", "open"))
-        .withColumn("first", F.row_number().over(fine.orderBy("s1")) == 1)
-        .withColumn("below", F.sum(F.when(F.col("first"), F.col("best2")).otherwise(0.0)).over(middle))
-        .withColumn("word", CHAR_BITS * F.length("s3") + code(F.col("d3"), F.col("all")) + F.sum(words).over(middle))
+    fine = fine.withColumn("open", CHAR_BITS * F.length(s2) + code(d) + F.col("spread"))
+    middle = fine.groupBy("column_name", "all", "s3").agg(
+        F.sum("d").alias("d"), F.sum("words").alias("words"), F.sum(F.least("exact", "open")).alias("below"),
+        F.sum("plain").alias("plain3"), F.sum("told").alias("told3"), F.sum("d").alias("d3"),
+    )
+    middle = middle.withColumn("word", CHAR_BITS * F.length(s3) + code(d) + F.col("words"))
+    adopted = lambda reading, plain, bits, n: F.when(
+        plain > bits + n * RUN_BITS * _symbols(reading, RUN) + CHAR_BITS * F.length(reading), _as_regex(reading)
     )
-    chosen = (
-        F.when(F.col("word") < F.col("below"), F.col("s3"))
-        .when(F.col("open") < F.col("exact"), F.col("s2"))
-        .otherwise(F.col("s1"))
+    merged = F.col("word") < F.col("below")
+    opened = F.col("open") < F.col("exact")
+    readings = fine.join(middle.select("column_name", "s3", "word", "below", "plain3", "told3", "d3"), ["column_name", "s3"]).select(
+        "column_name", "s2", (merged | opened).alias("coarse"),
+        F.when(merged, adopted(s3, F.col("plain3"), F.col("told3"), F.col("d3")))
+        .when(opened, adopted(s2, F.col("plain"), F.col("told"), d)).alias("pattern"),
+    )
+    exact = adopted(s1, d * CHAR_BITS * F.length(s1), told, d)
+    return each.join(readings, ["column_name", "s2"]).select(
+        "column_name", "s1", F.when(F.col("coarse"), F.col("pattern")).otherwise(exact).alias("pattern")
     )
-    s = s.withColumn("chosen", chosen)
-    group = Window.partitionBy("column_name", "chosen")
-    plain = F.sum(F.col("d") * CHAR_BITS * F.length("s1")).over(group)
-    told = F.sum(F.col("d") * (_bits(F.col("s1"), True) + RUN_BITS * _symbols(F.col("chosen"), "+"))).over(group)
-    pattern = F.when(plain > told + CHAR_BITS * F.length("chosen"), _as_regex(F.col("chosen")))
-    return s.select("column_name", "s1", pattern.alias("pattern"))
-
-
-def _as_regex(chosen: Column) -> Column:
-    """The chosen reading as a regular expression."""
-    text = F.regexp_replace(chosen, r"([\\.*?^$()\[\]{}|])", r"\\$1")
-    text = F.regexp_replace(text, r"(?<![Aa9w])\+", r"\\+")
-    for symbol, meaning in (("A", r"\\p{Lu}"), ("a", r"\\p{Ll}"), ("9", r"\\d"), ("w", r"[\\p{L} ]")):
-        text = F.regexp_replace(text, rf"(?<![\\{{p]){symbol}" if symbol != "9" else symbol, meaning)
+
+
+def _as_regex(reading: Column) -> Column:
+    """A reading as a regular expression. The symbols of a reading are its only letters and digits, and none of the
+    meanings holds one of them."""
+    text = F.regexp_replace(reading, r"([\\.*?^$()\[\]{}|+])", r"\\$1")
+    for symbol, meaning in (("A", r"\p{Lu}"), ("a", r"[^\P{L}\p{Lu}]"), ("9", r"\d"), ("w", r"[\p{L} ]"), (RUN, "+")):
+        text = F.replace(text, F.lit(symbol), F.lit(meaning))
     return F.concat(F.lit("^"), text, F.lit("$"))
 
 
+def patterned_shapes(values: DataFrame) -> DataFrame:
+    """The shape counts with the pattern of each, as a written table: profile and tests read it more than once."""
+    shapes = durable(shape_counts(values))
+    return durable(shapes.join(induce_patterns(shapes), ["column_name", "s1"]))
+
+
 def column_profile(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
     """One row per load and column: rows, missing_ratio, distinct_count, observed_max_length, lowest_value,
     highest_value, n_patterns, main_pattern, nonconforming_rows, top_value, top_share.
@@ -138,9 +152,8 @@ def column_profile(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
         F.max("value").alias("highest_value"),
         F.max(F.when(F.col("value").isNotNull(), F.struct("n", "value"))).alias("top"),
     )
-    shapes = shape_counts(values)
     patterned = (
-        shapes.join(induce_patterns(shapes), ["column_name", "s1"])
+        patterned_shapes(values)
         .groupBy(*keys, "pattern").agg(F.sum("n").alias("n"))
         .groupBy(*keys).agg(
             F.count("pattern").alias("n_patterns"),
@@ -156,39 +169,54 @@ def column_profile(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
     )
 
 
-def _beside_previous(counts: DataFrame, loads: DataFrame, by: list[str]) -> DataFrame:
-    """(load_no, by..., cur, prev): the rows of each category in a load and in the load before.
+def _beside_previous(counts: DataFrame, loads: DataFrame) -> DataFrame:
+    """(load_no, column_name, facet, cur, prev): for each category its rows in a load and in the load before; one of
+    both may be 0.
 
     ``loads`` has one row per load number, so ordering it in one task and broadcasting it does not grow with the rows.
     """
-    ahead = loads.select("load_no", F.lead("load_no").over(Window.orderBy("load_no")).alias("next"))
-    later = counts.join(F.broadcast(ahead.where("next is not null")), "load_no").select(
-        F.col("next").alias("load_no"), *by, F.lit(0).cast("bigint").alias("cur"), F.col("n").alias("prev")
+    beside = Window.orderBy("load_no")
+    order = loads.where("load_no is not null").select(
+        "load_no", F.lag("load_no").over(beside).alias("before"), F.lead("load_no").over(beside).alias("after")
     )
-    here = counts.join(F.broadcast(ahead.select(F.col("next").alias("load_no")).where("load_no is not null")), "load_no").select(
-        "load_no", *by, F.col("n").alias("cur"), F.lit(0).cast("bigint").alias("prev")
+    same = Window.partitionBy("column_name", "facet", "category").orderBy("load_no")
+    seen = counts.join(F.broadcast(order), "load_no").select(
+        "*", F.lag("load_no").over(same).alias("seen"), F.lag("n").over(same).alias("was"), F.lead("load_no").over(same).alias("next")
     )
-    return here.unionByName(later).groupBy("load_no", *by).agg(F.sum("cur").alias("cur"), F.sum("prev").alias("prev"))
+    none = F.lit(0).cast("bigint")
+    here = F.when(
+        F.col("before").isNotNull(),
+        F.struct(F.col("load_no").alias("load_no"), F.col("n").alias("cur"), F.when(F.col("seen") == F.col("before"), F.col("was")).otherwise(none).alias("prev")),
+    )
+    gone = F.when(
+        F.col("after").isNotNull() & ~F.col("next").eqNullSafe(F.col("after")),
+        F.struct(F.col("after").alias("load_no"), none.alias("cur"), F.col("n").alias("prev")),
+    )
+    return seen.select("column_name", "facet", F.inline(F.array_compact(F.array(here, gone))).alias("load_no", "cur", "prev"))
 
 
 def mix_tests(facets: DataFrame, loads: DataFrame) -> DataFrame:
     """(load_no, column_name, facet, z) for counts (load_no, column_name, facet, category, n): the two-sample
-    chi-square of the categories against the load before, as standard deviations (Wilson and Hilferty)."""
-    pairs = _beside_previous(facets, loads, ["column_name", "facet", "category"])
-    category = F.when(F.col("cur") + F.col("prev") >= LEAST_ROWS, F.col("category"))
-    pairs = pairs.groupBy("load_no", "column_name", "facet", category.alias("category")).agg(
-        F.sum("cur").alias("cur"), F.sum("prev").alias("prev")
-    )
-    sums = pairs.groupBy("load_no", "column_name", "facet").agg(
-        F.sum("cur").alias("n1"), F.sum("prev").alias("n0"), F.count(F.lit(1)).alias("k")
-    )
-    term = F.pow(F.col("cur") * F.sqrt(F.col("n0") / F.col("n1")) - F.col("prev") * F.sqrt(F.col("n1") / F.col("n0")), 2) / (
-        F.col("cur") + F.col("prev")
-    )
-    by = ["load_no", "column_name", "facet"]
-    chi = pairs.join(sums.where("n1 > 0 and n0 > 0 and k > 1"), by).groupBy(*by).agg(F.sum(term).alias("x"), (F.max("k") - 1).alias("df"))
+    chi-square of the categories against the load before, as standard deviations (Wilson and Hilferty).
+
+    The sum over categories of (cur * sqrt(n0 / n1) - prev * sqrt(n1 / n0)) ** 2 / (cur + prev) is taken apart into
+    three sums that need neither total, so one aggregation does it.
+    """
+    cur, prev = F.col("cur").cast("double"), F.col("prev").cast("double")
+    many = F.col("cur") + F.col("prev") >= LEAST_ROWS
+    parts = {"cc": (cur, cur), "cp": (cur, prev), "pp": (prev, prev)}
+    sums = _beside_previous(facets, loads).groupBy("load_no", "column_name", "facet").agg(
+        F.sum("cur").alias("n1"), F.sum("prev").alias("n0"), F.sum(many.cast("int")).alias("k"),
+        F.sum(F.when(~many, cur).otherwise(0.0)).alias("few_cur"), F.sum(F.when(~many, prev).otherwise(0.0)).alias("few_prev"),
+        *(F.sum(F.when(many, a * b / (cur + prev)).otherwise(0.0)).alias(name) for name, (a, b) in parts.items()),
+    )
+    few = F.col("few_cur") + F.col("few_prev")
+    rest = {"cc": F.col("few_cur") ** 2, "cp": F.col("few_cur") * F.col("few_prev"), "pp": F.col("few_prev") ** 2}
+    cc, cp, pp = (F.col(name) + F.when(few > 0, rest[name] / few).otherwise(0.0) for name in parts)
+    tested = sums.withColumn("df", F.col("k") + (few > 0).cast("int") - 1).where("n1 > 0 and n0 > 0 and df > 0")
+    x = F.greatest(F.lit(0.0), cc * F.col("n0") / F.col("n1") - 2 * cp + pp * F.col("n1") / F.col("n0"))
     spread = 2 / (9 * F.col("df"))
-    return chi.select(*by, ((F.cbrt(F.col("x") / F.col("df")) - (1 - spread)) / F.sqrt(spread)).alias("z"))
+    return tested.select("load_no", "column_name", "facet", ((F.cbrt(x / F.col("df")) - (1 - spread)) / F.sqrt(spread)).alias("z"))
 
 
 def distinct_tests(values: DataFrame, loads: DataFrame) -> DataFrame:
@@ -220,17 +248,19 @@ def load_tests(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
     row; a column that is missing throughout in a load is compared by its missing ratio alone."""
     values = durable(value_counts(rows, load, columns))
     loads = values.select("load_no").where("load_no is not null").distinct()
-    shapes = shape_counts(values)
-    patterns = shapes.join(induce_patterns(shapes), ["column_name", "s1"])
+    patterns = patterned_shapes(values)
     label = F.coalesce("pattern", F.lit("nonconforming"))
+    small = {
+        "missing": (values, F.col("value").isNull().cast("string")),
+        "length": (patterns, F.col("length").cast("string")),
+        "pattern": (patterns, label),
+    }
     facets = [
-        values.select("load_no", "column_name", F.lit("missing").alias("facet"), F.col("value").isNull().cast("string").alias("category"), "n"),
-        values.where("value is not null").select("load_no", "column_name", F.lit("value").alias("facet"), F.col("value").alias("category"), "n"),
-        shapes.select("load_no", "column_name", F.lit("length").alias("facet"), F.col("length").cast("string").alias("category"), "n"),
-        patterns.select("load_no", "column_name", F.lit("pattern").alias("facet"), label.alias("category"), "n"),
-    ]
-    counts = facets[0].unionByName(facets[1]).unionByName(facets[2]).unionByName(facets[3])
-    counts = counts.groupBy("load_no", "column_name", "facet", "category").agg(F.sum("n").alias("n"))
+        source.groupBy("load_no", "column_name", F.lit(name).alias("facet"), category.alias("category")).agg(F.sum("n").alias("n"))
+        for name, (source, category) in small.items()
+    ]
+    mix = values.where("value is not null").select("load_no", "column_name", F.lit("value").alias("facet"), F.col("value").alias("category"), "n")
+    counts = reduce(DataFrame.unionByName, facets, mix)
     return mix_tests(counts, loads).unionByName(distinct_tests(values, loads))
 
 

@@ -30,6 +30,17 @@ def p2_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.load_tests(table(spark, sf_dir, "source_supplier"), "load_no", SUPPLIER_COLUMNS)
 
 
+def p2_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p2_profile that SQL has as well."""
+    left_out = ["n_patterns", "main_pattern", "nonconforming_rows"]
+    return p2_profile(spark, sf_dir).drop(*left_out).withColumn("top_share", F.round("top_share", 6))
+
+
+def p2_mix_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of p2_tests that need no patterns, so that SQL has them as well."""
+    return p2_tests(spark, sf_dir).where("facet <> 'pattern'").withColumn("z", F.round("z", 5))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all texts, cut once and written."""
     payloads = table(spark, sf_dir, "mapping_job_payloads")
@@ -57,7 +68,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_profile": p2_profile, "p2_tests": p2_tests,
+    "p2_found": p2_found, "p2_profile": p2_profile, "p2_tests": p2_tests, "p2_standard": p2_standard, "p2_mix_tests": p2_mix_tests,
     "p4_found": p4_found, "p4_rejects": p4_rejects, "p4_loaded": p4_loaded,
     "p5_found": p5_found,
 }
@@ -109,7 +120,33 @@ w AS (SELECT job_id, line_no, header, fields, CASE WHEN NOT whole THEN 'quoting'
   OR (opt_in <> '' AND lower(opt_in) NOT IN ('true', 'false', 'yes', 'no', 'y', 'n', '0', '1'))
   OR regexp_matches(name, '[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}\x{{fffd}}]') THEN 'invalid_value' END AS reason FROM c)"""
 
+_LONG = " UNION ALL ".join(f"SELECT load_no, '{c}' AS column_name, nullif(trim({c}), '') AS value FROM source_supplier" for c in SUPPLIER_COLUMNS)
+_COUNTS = f"""v AS (SELECT CAST(load_no AS BIGINT) AS load_no, column_name, value, count(*) AS n FROM ({_LONG}) GROUP BY ALL)"""
+_P2_STANDARD = f"""
+WITH {_COUNTS}, top AS (SELECT load_no, column_name, arg_max(value, row(n, value)) AS top_value, max(n) AS top_n FROM v WHERE value IS NOT NULL GROUP BY ALL)
+SELECT load_no, column_name, CAST(sum(n) AS BIGINT) AS rows, coalesce(sum(n) FILTER (value IS NULL), 0) / sum(n) AS missing_ratio, count(value) AS distinct_count,
+  CAST(max(length(value)) AS INT) AS observed_max_length, min(value) AS lowest_value, max(value) AS highest_value, any_value(top_value) AS top_value,
+  round(any_value(top_n) / sum(n), 6) AS top_share
+FROM v LEFT JOIN top USING (load_no, column_name) GROUP BY ALL"""
+_P2_MIX = f"""
+WITH {_COUNTS}, f AS (
+  SELECT load_no, column_name, 'missing' AS facet, CAST(value IS NULL AS VARCHAR) AS c, sum(n) AS n FROM v GROUP BY ALL
+  UNION ALL SELECT load_no, column_name, 'value', value, n FROM v WHERE value IS NOT NULL
+  UNION ALL SELECT load_no, column_name, 'length', CAST(length(value) AS VARCHAR), sum(n) FROM v WHERE value IS NOT NULL GROUP BY ALL),
+o AS (SELECT load_no, lag(load_no) OVER (ORDER BY load_no) AS before FROM (SELECT DISTINCT load_no FROM v WHERE load_no IS NOT NULL)),
+b AS (SELECT load_no, column_name, facet, c, n AS cur, 0 AS prev FROM f JOIN o USING (load_no) WHERE before IS NOT NULL
+  UNION ALL SELECT o.load_no, column_name, facet, c, 0, n FROM f JOIN o ON f.load_no = o.before),
+p AS (SELECT load_no, column_name, facet, c, sum(cur) AS cur, sum(prev) AS prev FROM b GROUP BY ALL),
+q AS (SELECT load_no, column_name, facet, CASE WHEN cur + prev >= 10 THEN c END AS c, sum(cur) AS cur, sum(prev) AS prev FROM p GROUP BY ALL),
+t AS (SELECT *, sum(cur) OVER w AS n1, sum(prev) OVER w AS n0, count(*) OVER w - 1 AS df FROM q WINDOW w AS (PARTITION BY load_no, column_name, facet)),
+x AS (SELECT load_no, column_name, facet, df, sum(power(cur * sqrt(n0 / n1) - prev * sqrt(n1 / n0), 2) / (cur + prev)) AS x FROM t WHERE n1 > 0 AND n0 > 0 AND df > 0 GROUP BY ALL),
+e AS (SELECT load_no, column_name, sum(n) AS rows, count(*) AS d, greatest(1, least(count(*) FILTER (n = 1), sum(n) - count(*))) AS v FROM v WHERE value IS NOT NULL GROUP BY ALL)
+SELECT load_no, column_name, facet, round((cbrt(x / df) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)), 5) AS z FROM x
+UNION ALL SELECT e.load_no, e.column_name, 'distinct', round(least(abs(e.d / e.rows - g.d / g.rows) / sqrt(e.v / e.rows ** 2 + g.v / g.rows ** 2), abs(e.d - g.d) / sqrt(e.v + g.v)), 5)
+FROM e JOIN o USING (load_no) JOIN e g ON g.load_no = o.before AND g.column_name = e.column_name"""
+
 ORACLE = {
+    "p2_standard": _P2_STANDARD, "p2_mix_tests": _P2_MIX,
     "p4_found": f"WITH {_RECORDS} SELECT job_id, line_no, reason FROM w WHERE reason IS NOT NULL",
     "p4_loaded": f"""WITH {_RECORDS} SELECT job_id, line_no, fields[1] AS legacy_client_id, CAST(to_json(map_from_entries(list_zip(header, fields))) AS VARCHAR) AS record
 FROM w WHERE reason IS NULL""",

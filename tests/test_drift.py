@@ -1,6 +1,7 @@
 import random
 
 from keelson.operators import drift
+from pyspark.sql import functions as F
 
 SCHEMA = "load_no int, code string, ident string, extra string"
 
@@ -46,3 +47,13 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert drift.column_profile(empty, "load_no", ["code"]).count() == 0
     assert drift.changed_columns(empty, "load_no", ["code"]).count() == 0
+
+
+def test_every_pattern_matches_its_own_values(spark):
+    odd = ["a+b", "A++", "+49 1", "x.y*z", "日本語", "ǅ1", "٣٤", "a|b", "(c)", "[d]", "e\\f", "$1^", "{2}", "w9a A", "Ünal-Öz", "naïve café"]
+    rows = [(1, value * (1 + i % 3), f"{value} {i:03d}", "") for i in range(400) for value in odd]
+    values = drift.value_counts(spark.createDataFrame(rows, SCHEMA), "load_no", ["code", "ident"])
+    patterns = drift.patterned_shapes(values).select("column_name", "s1", "pattern").where("pattern is not null")
+    checked = values.withColumn("s1", drift.shape(F.col("value"))).join(patterns, ["column_name", "s1"])
+    assert checked.count() > 500
+    assert checked.where(~F.expr("value rlike pattern")).select("value", "pattern").collect() == []
