@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,52 @@ def _step(word: str, letter: str, previous: str, last: list[int], before: list[i
     return row
 
 
+class Automaton:
+    """The Levenshtein automaton of a word, swaps of neighbours included, made deterministic as far as it is walked.
+
+    A state is a tuple of bit sets: for 0 .. ``most`` edits the letters of the word read so far, then for 1 .. ``most``
+    edits the swaps begun. Bit i stands for the first i letters.
+    """
+
+    def __init__(self, word: str, most: int):
+        self.most, self.last, self.all = most, 1 << len(word), (1 << (len(word) + 1)) - 1
+        self.places: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            self.places[letter] = self.places.get(letter, 0) | 1 << i
+        start = tuple((2 << d) - 1 & self.all for d in range(most + 1)) + (0,) * most
+        self.number = {start: 0}
+        self.states = [start]
+        self.moves: list[dict[str, int]] = [{}]
+        self.final = [start[most] & self.last > 0]
+
+    def step(self, state: int, letter: str) -> int:
+        """The state after one more letter; -1 if no word within reach begins like that."""
+        after = self.moves[state].get(letter)
+        if after is None:
+            after = self.moves[state][letter] = self._make(self.states[state], self.places.get(letter, 0))
+        return after
+
+    def _make(self, old: tuple[int, ...], at: int) -> int:
+        read, begun = [(old[0] & at) << 1], []
+        for d in range(1, self.most + 1):
+            before, swap = old[d - 1], old[self.most + d]
+            reached = (old[d] & at) << 1 | before | before << 1 | read[-1] << 1 | (swap & at) << 2
+            read.append(reached & self.all)
+            begun.append(before & at >> 1)
+        if not read[-1] and not (begun and begun[-1]):
+            return -1
+        state = (*read, *begun)
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            self.final.append(read[-1] & self.last > 0)
+        return self.number[state]
+
+
+automaton = lru_cache(maxsize=20_000)(Automaton)
+
+
 class Trie:
     """Words in a tree of letters; :meth:`near` walks it with the automaton of a word and leaves dead branches."""
 
@@ -50,17 +97,21 @@ class Trie:
     def near(self, word: str, most: int) -> list[str]:
         """All words of the tree within ``most`` edits of ``word``."""
         found = []
-        stack = [(self.root, "", list(range(len(word) + 1)), [])]
+        walk = automaton(word, most)
+        stack = [(self.root, 0)]
         while stack:
-            node, previous, last, before = stack.pop()
+            node, state = stack.pop()
+            moves = walk.moves[state]
             for letter, child in node.items():
                 if letter == "":
-                    if last[-1] <= most:
+                    if walk.final[state]:
                         found.append(child)
                     continue
-                row = _step(word, letter, previous, last, before, last[0] + 1)
-                if min(row) <= most:
-                    stack.append((child, letter, row, last))
+                after = moves.get(letter)
+                if after is None:
+                    after = walk.step(state, letter)
+                if after >= 0:
+                    stack.append((child, after))
         return found
 
 

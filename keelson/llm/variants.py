@@ -6,7 +6,8 @@ the names that share a nearly equal word; their words are then matched in any or
 dropped vowels, nicknames and joined words, while legal forms and fillers are left aside. Shards that hold very many
 records (a desk, a service office) are cut further by keys of the words: words with few edits share a deletion, longer
 ones a segment that stays whole, so index and probe words still meet and the result is that of a shard left whole.
-Direct links are consolidated into groups, whose members are paired.
+Records of a shard with the same name stand there as one, so a shard holds each name once and
+links name each record once. Direct links are consolidated into groups, whose members are paired.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from keelson.storage import durable
 LARGE_SHARD = 200
 #: Rows of sub-shards that are handed on together.
 ROWS_AT_ONCE = 50_000
+#: Members of a group that one task pairs with all others of it.
+MEMBERS_AT_ONCE = 1_000
 #: Days between the creation dates of two records that share nothing but the postal code and a fitting name; a missing
 #: date is no obstacle if the names match in full.
 NEAR_DAYS = 366
@@ -67,17 +70,29 @@ for _full, _forms in NICKNAMES.items():
 _FOLD = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "@": "a"})
 
 
-def name_words(name: str | None) -> list[str]:
+_CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ]{2})(?=[A-ZÀ-Þ][a-zß-öø-ÿ.])")
+_SRO = re.compile(r"\bs\.?\s?r\.?\s?o\b|\bsp\.?\s?z\.?\s?o\.?\s?o\b")
+_EK = re.compile(r"\be\.?\s?kfm\b|\ba/s\b")
+_DOTTED = re.compile(r"\b([a-z])\.(?=[a-z]\b)")
+_LETTERS = re.compile(r"[a-z]+")
+
+
+@lru_cache(maxsize=100_000)
+def name_words(name: str | None) -> tuple[str, ...]:
     """The words of a name that tell it apart, in order; the legal form and fillers are left out."""
-    text = re.sub(r"(?<=[a-zß-öø-ÿ]{2})(?=[A-ZÀ-Þ][a-zß-öø-ÿ.])", " ", name or "")
-    text = unicodedata.normalize("NFKD", text.lower().translate(_FOLD))
-    text = "".join(c for c in text if not unicodedata.combining(c)).replace("'", "")
-    text = re.sub(r"\bs\.?\s?r\.?\s?o\b|\bsp\.?\s?z\.?\s?o\.?\s?o\b", " sro ", text)
-    text = re.sub(r"\be\.?\s?kfm\b|\ba/s\b", " ek ", text)
-    text = re.sub(r"\b([a-z])\.(?=[a-z]\b)", r"\1", text)
-    words = list(dict.fromkeys(re.findall(r"[a-z]+", text)))
+    text = _CAMEL.sub(" ", name or "")
+    text = text.lower().translate(_FOLD).replace("'", "")
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).replace("'", "")
+    if "o" in text:
+        text = _SRO.sub(" sro ", text)
+    if "kfm" in text or "a/s" in text:
+        text = _EK.sub(" ek ", text)
+    if "." in text:
+        text = _DOTTED.sub(r"\1", text)
+    words = list(dict.fromkeys(_LETTERS.findall(text)))
     kept = [w for w in words if w not in LEGAL and not _is_filler(w)]
-    return kept or words
+    return tuple(kept or words)
 
 
 @lru_cache(maxsize=100_000)
@@ -116,7 +131,8 @@ def word_match(a: str, b: str) -> str:
     return ""
 
 
-def names_fit(a: list[str], b: list[str]) -> str:
+@lru_cache(maxsize=100_000)
+def names_fit(a: tuple[str, ...], b: tuple[str, ...]) -> str:
     """``full`` if the words of two names match in any order and all in full, ``part`` if at least one longer word does
     and others are short forms, else empty.
 
@@ -126,12 +142,12 @@ def names_fit(a: list[str], b: list[str]) -> str:
     if a and b and (sorted(a) == sorted(b) or "".join(a) == "".join(b)):
         return "full"
     if EITHER in a or EITHER in b:
-        bare = [[w for w in words if w != EITHER] for words in (a, b)]
+        bare = [tuple(w for w in words if w != EITHER) for words in (a, b)]
         return _words_fit(a, b) or _words_fit(*bare)
     return _words_fit(a, b)
 
 
-def _places(word: str, following: str, b: list[str], free: list[int], i: int) -> tuple[list[int], str, int, int]:
+def _places(word: str, following: str, b: tuple[str, ...], free: list[int], i: int) -> tuple[list[int], str, int, int]:
     """The words of ``b`` that ``word`` matches, how, the words of ``a`` used up, and the letters of the shorter side as
     written in one; full matches come first."""
     near = sorted(free, key=lambda j: abs(i - j))
@@ -150,7 +166,7 @@ def _places(word: str, following: str, b: list[str], free: list[int], i: int) ->
     return best
 
 
-def _words_fit(a: list[str], b: list[str]) -> str:
+def _words_fit(a: tuple[str, ...], b: tuple[str, ...]) -> str:
     if not a or not b:
         return ""
     if len(b) < len(a):
@@ -223,13 +239,14 @@ def _meeting(probe: str, word: str) -> str:
     return min(probe_keys(probe) & index_keys(word))
 
 
-def _parts(words: list[str]) -> set[str]:
+def _parts(words: tuple[str, ...]) -> set[str]:
     """The words by which names find each other: each word, and all of them written as one."""
     return {*words, "".join(words)}
 
 
 def evidence(vendors: DataFrame) -> DataFrame:
-    """(id, name, created, shard, kind): one row for each usable identifying value of a record."""
+    """(id, name, created, shard, kind, era): one row for each usable identifying value of a record. ``era`` tells
+    records of one postal code apart by the span of ``NEAR_DAYS`` they were created in, -1 for no date; otherwise 0."""
     fields = {
         "T": ("tax_number", F.substring(F.regexp_replace("tax_number", "[^0-9]", ""), -9, 9)),
         "E": ("email", F.lower(F.regexp_replace("email", r"[<>\s ]", ""))),
@@ -242,7 +259,8 @@ def evidence(vendors: DataFrame) -> DataFrame:
         for kind, (field, key) in fields.items()
     ]
     created = F.try_to_date("created_date", "yyyyMMdd").alias("created")
-    return vendors.select("id", "name", created, F.inline(F.array(*pairs))).where("shard is not null")
+    era = F.when(F.col("kind") != "Z", 0).otherwise(F.coalesce(F.floor(F.unix_date("created") / NEAR_DAYS), F.lit(-1))).cast("int")
+    return vendors.select("id", "name", created, F.inline(F.array(*pairs))).where("shard is not null").withColumn("era", era)
 
 
 def _street_key(street):
@@ -252,67 +270,91 @@ def _street_key(street):
     return F.regexp_replace(F.regexp_replace(text, kinds, ""), r"[^a-z0-9]", "")
 
 
+def _near_in_time(a: tuple, b: tuple, fit: str) -> bool:
+    """Whether two entries (id, first, last) of one postal code were created close enough for names that ``fit``."""
+    if a[1] is None or b[1] is None:
+        return fit == "full"
+    early, late = sorted((a, b), key=lambda entry: entry[1])
+    return (late[1] - early[2]).days <= NEAR_DAYS
+
+
 def _link_shard(rows: list[tuple]) -> Iterator[tuple[str, str]]:
-    """Pairs of ids of one shard whose names fit. rows: (kind, id, name, created, role, part); role is 1 for index rows,
-    2 for probes, 3 for both; part is the key of a sub-shard, which compares only the words that meet under it."""
-    people = defaultdict(list)
-    part = rows[0][5] if rows else None
-    for kind, ident, name, created, role, _ in rows:
-        people[name].append((kind, ident, created, role))
+    """Pairs of ids of one shard whose names fit. rows: (kind, id, name, first, last, role, part), one for each name
+    and era; role is 1 for index rows, 2 for probes, 3 for both; part is the key of a sub-shard, which compares only
+    the words that meet under it."""
+    if len(rows) < 2:
+        return
+    people, roles = defaultdict(list), {}
+    kind, part = rows[0][0], rows[0][6]
+    for _, ident, name, first, last, role, _ in rows:
+        people[name].append((ident, first, last))
+        roles[name] = role
     words = {name: name_words(name) for name in people}
     holders = defaultdict(set)
-    for name, members in people.items():
-        if any(m[3] & 1 for m in members):
+    for name in people:
+        if roles[name] & 1:
             for word in _parts(words[name]):
                 holders[word].add(name)
-    if len(people) == 1:
-        return
     tree = Trie(holders)
-    for name, members in people.items():
-        if not any(m[3] & 2 for m in members):
-            continue
-        candidates = set()
-        for word in _parts(words[name]):
-            if part and part not in probe_keys(word):
-                continue
-            for near in tree.near(word, most_edits(len(word))):
-                if not part or (part in index_keys(near) and part == _meeting(word, near)):
-                    candidates |= holders[near]
-        for other in candidates:
-            fit = names_fit(words[name], words[other]) if other != name else ""
-            if fit:
-                for kind, ident, created, _ in members:
-                    for _, other_id, other_created, _ in people[other]:
-                        known = created and other_created
-                        far = kind == "Z" and (abs((created - other_created).days) > NEAR_DAYS if known else fit != "full")
-                        if ident != other_id and not far:
-                            yield min(ident, other_id), max(ident, other_id)
+    met: dict[str, set[str]] = {name: {name} for name in people}
+    for name, entries in people.items():
+        for k, entry in enumerate(entries):
+            yield from ((entry[0], other[0]) for other in entries[k + 1 :] if kind != "Z" or _near_in_time(entry, other, "full"))
+        if roles[name] & 2:
+            for other in _candidates(name, words, holders, tree, met, part):
+                met[other].add(name)
+                fit = names_fit(words[name], words[other]) or names_fit(words[other], words[name])
+                if fit:
+                    for entry in entries:
+                        yield from ((entry[0], near[0]) for near in people[other] if kind != "Z" or _near_in_time(entry, near, fit))
+
+
+def _candidates(name: str, words: dict, holders: dict, tree: Trie, met: dict[str, set[str]], part: str | None) -> set[str]:
+    """The names that share a nearly equal word with ``name`` and that it has not met yet. Once it has met all names of
+    the shard, no further word is looked up: equal words come first, then the longest."""
+    mine = [word for word in _parts(words[name]) if not part or part in probe_keys(word)]
+    known = met[name]
+    found: set[str] = set()
+    if not part:
+        found = found.union(*(holders[word] for word in mine if word in holders)) - known
+    for word in sorted(mine, key=len, reverse=True):
+        if len(found) + len(known) == len(words):
+            break
+        for near in tree.near(word, most_edits(len(word))):
+            if not part or (part in index_keys(near) and part == _meeting(word, near)):
+                found |= holders[near]
+        found -= known
+    return found
 
 
 def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shards in order, each possibly over several batches."""
+
+    def links(rows: list[tuple]) -> set[tuple[str, str]]:
+        return {(min(pair), max(pair)) for pair in _link_shard(rows)}
+
     held, shard = [], None
     for batch in batches:
         out = []
-        for key, *row in batch[["shard", "kind", "id", "name", "created", "role", "part"]].itertuples(index=False, name=None):
+        for key, *row in batch[["shard", "kind", "id", "name", "first", "last", "role", "part"]].itertuples(index=False, name=None):
             if key != shard:
-                out += set(_link_shard(held))
+                out += links(held)
                 held, shard = [], key
             held.append(tuple(row))
         yield pd.DataFrame(out, columns=["a", "b"], dtype="object")
-    yield pd.DataFrame(list(set(_link_shard(held))), columns=["a", "b"], dtype="object")
+    yield pd.DataFrame(list(links(held)), columns=["a", "b"], dtype="object")
 
 
 def _cut_large(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of large shards as index and probe rows of sub-shards by the keys of the words."""
-    columns = ["kind", "id", "name", "created", "shard", "role", "part"]
+    columns = ["kind", "id", "name", "first", "last", "shard", "role", "part"]
     for batch in batches:
         out = []
-        for kind, ident, name, created, shard in batch[columns[:5]].itertuples(index=False, name=None):
+        for kind, ident, name, first, last, shard in batch[columns[:6]].itertuples(index=False, name=None):
             own = _parts(name_words(name))
             index = {k for w in own for k in index_keys(w)}
             probe = {k for w in own for k in probe_keys(w)}
-            out += [(kind, ident, name, created, f"{shard}#{k}", (k in index) + 2 * (k in probe), k) for k in index | probe]
+            out += [(kind, ident, name, first, last, f"{shard}#{k}", (k in index) + 2 * (k in probe), k) for k in index | probe]
             if len(out) > ROWS_AT_ONCE:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
@@ -320,15 +362,29 @@ def _cut_large(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def direct_links(vendors: DataFrame) -> DataFrame:
-    """(a, b) of records (id, name, ...) that share an identifying value and whose names fit."""
+    """(a, b) of records (id, name, ...) that share an identifying value and whose names fit.
+
+    Records with the same name, value and era are linked to the first of them and go on as one entry, so neither the
+    links nor what a shard holds grow with the square of its records.
+    """
     rows = durable(evidence(vendors))
-    sizes = durable(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")))
-    sized = join_by_value(rows, sizes, ["shard"], "n")
-    small = sized.where(F.col("size") <= LARGE_SHARD).select("kind", "id", "name", "created", "shard", F.lit(3).alias("role"), F.lit(None).cast("string").alias("part"))
-    schema = "kind string, id string, name string, created date, shard string, role int, part string"
-    large = sized.where(F.col("size") > LARGE_SHARD).select("kind", "id", "name", "created", "shard").mapInPandas(_cut_large, schema)
-    sharded = small.unionByName(large).repartition("shard").sortWithinPartitions("shard")
-    return sharded.mapInPandas(_link_batches, "a string, b string").distinct()
+    same = ["shard", "name", "era"]
+    entries = durable(
+        rows.groupBy(*same, "kind").agg(
+            F.min("id").alias("first_id"), F.min("created").alias("first"), F.max("created").alias("last"), F.count(F.lit(1)).alias("n")
+        )
+    )
+    copies = join_by_value(rows.select(*same, "id"), entries.where("n > 1").select(*same, "first_id", "n"), same, "n")
+    stars = copies.where("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
+    sizes = durable(entries.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")))
+    kept = ["kind", F.col("first_id").alias("id"), "name", "first", "last", "shard"]
+    sized = join_by_value(entries.select(*kept), sizes, ["shard"], "n")
+    small = sized.where(F.col("size") <= LARGE_SHARD).drop("size").withColumn("role", F.lit(3)).withColumn("part", F.lit(None).cast("string"))
+    schema = "kind string, id string, name string, first date, last date, shard string, role int, part string"
+    columns = ["kind", "id", "name", "first", "last", "shard"]
+    large = sized.where(F.col("size") > LARGE_SHARD).select(*columns).mapInPandas(_cut_large, schema)
+    sharded = small.select(*columns, "role", "part").unionByName(large).repartition("shard").sortWithinPartitions("shard")
+    return sharded.mapInPandas(_link_batches, "a string, b string").unionByName(stars).distinct()
 
 
 def name_variants(vendors: DataFrame) -> DataFrame:
@@ -344,10 +400,17 @@ def name_variants(vendors: DataFrame) -> DataFrame:
     )
     once = durable(once)
     groups = durable(connected_components(direct_links(once)).join(once.select("id", "name"), "id"))
-    left = groups.select("group_id", F.col("id").alias("legacy_vendor_id_a"), F.col("name").alias("name_a"))
-    right = groups.select("group_id", F.col("id").alias("legacy_vendor_id_b"), F.col("name").alias("name_b"))
+    # The members of a large group are dealt out, so that its pairs are made in as many tasks as it needs.
+    sizes = groups.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).cast("int").alias("parts"))
+    placed = durable(groups.join(sizes, "group_id"))
+    left = placed.select(
+        "group_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("legacy_vendor_id_a"), F.col("name").alias("name_a")
+    )
+    right = placed.select(
+        "group_id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("legacy_vendor_id_b"), F.col("name").alias("name_b")
+    )
     return (
-        left.join(right, "group_id")
+        left.join(right, ["group_id", "part"])
         .where("legacy_vendor_id_a < legacy_vendor_id_b and name_a <> name_b")
         .select("legacy_vendor_id_a", "legacy_vendor_id_b")
     )

@@ -29,6 +29,9 @@ def test_canonical_values(spark):
 VENDOR = "legacy_vendor_id string, vendor_name string, city string, street string, postal_code string, tax_number string, email string, phone string, created_date string, source_system string, changed_at timestamp, loaded_at timestamp, value string"
 
 
+VENDOR_REST = ["tax_number", "email", "phone", "street", "postal_code", "created_date"]
+
+
 def vendor(i, name="n", tax=None, phone=None, city=None, system=None, changed=1, postal=None, street=None, email=None, created="20200101"):
     day = datetime(2020, 1, changed)
     return (i, name, city, street, postal, tax, email, phone, created, system, day, day, "clash")
@@ -112,3 +115,22 @@ def test_names_of_short_words(spark, monkeypatch):
     for large in (200, 1):
         monkeypatch.setattr(variants, "LARGE_SHARD", large)
         assert {tuple(r) for r in variants.name_variants(spark.createDataFrame(rows, VENDOR)).collect()} == {(f"{k}A", f"{k}B") for k in range(3)}
+
+
+def test_same_names_count_once_and_still_link(spark, monkeypatch):
+    rows = [vendor(f"A{k:03d}", "Quorvin Labortechnik", phone="+49 555 9135702") for k in range(300)]
+    rows += [vendor("B", "Quorvni Labortechnik", tax="DE135792468"), vendor("A007", "Quorvin Labortechnik", phone="+49 555 9135702", tax="DE135792468")]
+    for most in (1_000, 50):
+        monkeypatch.setattr(variants, "MEMBERS_AT_ONCE", most)
+        found = {tuple(r) for r in variants.name_variants(spark.createDataFrame(rows, VENDOR)).collect()}
+        assert found == {(f"A{k:03d}", "B") for k in range(300)}
+    assert variants.direct_links(spark.createDataFrame(rows[:300], VENDOR).selectExpr("legacy_vendor_id as id", "vendor_name as name", *VENDOR_REST)).count() == 299
+
+
+def test_automaton_equals_edits():
+    draw = random.Random(1)
+    words = {"".join(draw.choice("abcd") for _ in range(draw.randrange(0, 9))) for _ in range(200)}
+    tree = edits.Trie(words)
+    for most in range(4):
+        for probe in sorted(words)[:60]:
+            assert sorted(tree.near(probe, most)) == sorted(w for w in words if edits.edits(w, probe, most) <= most)
