@@ -2,7 +2,8 @@
 
 All statistics cover all documents: words are counted per language, each word gets its frequency rank, and the
 coverage rank of a document is the size of the smallest frequency-ranked vocabulary that covers a fixed share of its
-tokens. Together with sentence and word length it is calibrated against rated documents by aggregates alone: features
+tokens. The most frequent words, a number fixed by a parameter, are broadcast to the documents, which settles every
+document whose share they cover without a shuffle of its words; the others are joined with all words. Together with sentence and word length it is calibrated against rated documents by aggregates alone: features
 are centred and scaled per language over all documents, the rated ones give a median point for each level and a
 median spread, and each document gets the level of the nearest point. Medians keep single wrong ratings without
 effect.
@@ -10,7 +11,7 @@ effect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.skew import join_by_value
@@ -18,6 +19,8 @@ from keelson.storage import durable
 
 COVERED_SHARE = 0.5
 LEAST_WORDS = 12
+#: Words per language, and letters of a word, in the broadcast head of the ranks.
+HEAD_WORDS, HEAD_LETTERS = 20_000, 40
 FEATURES = ["coverage", "sentence", "word"]
 # Frequent function words that tell the two languages apart.
 GERMAN = ["der", "die", "das", "und", "nicht", "ist", "wir", "den", "mit", "von", "auf", "aus", "des", "eine", "werden", "bitte", "sind"]
@@ -39,10 +42,10 @@ def document_features(documents: DataFrame) -> DataFrame:
         F.split("t", r"(?<=[.!?;])\s|\n\s*\n|\n(?=[A-Z0-9])|\s/\s").alias("parts"),
     )
     sentence = F.size(F.filter("parts", lambda p: p.rlike(r"\p{L}+\P{L}+\p{L}+\P{L}+\p{L}+")))
-    found = lambda listed: F.size(F.filter("words", lambda w: w.isin(listed)))
+    lean = F.aggregate("words", F.lit(0), lambda n, w: n + F.when(w.isin(GERMAN), 1).when(w.isin(ENGLISH), -1).otherwise(0))
     return split.where(F.size("words") >= LEAST_WORDS).select(
         "doc_id",
-        F.when(found(GERMAN) > found(ENGLISH), "de").otherwise("en").alias("language"),
+        F.when(lean > 0, "de").otherwise("en").alias("language"),
         "words",
         F.size("words").alias("n_words"),
         F.log(F.size("words") / F.greatest(sentence, F.lit(1))).alias("sentence"),
@@ -50,26 +53,36 @@ def document_features(documents: DataFrame) -> DataFrame:
     )
 
 
-def coverage_ranks(features: DataFrame, share: float = COVERED_SHARE) -> DataFrame:
+def word_ranks(features: DataFrame) -> DataFrame:
+    """(language, w, rank, last, n): each word's frequency rank and rows; words of equal frequency share the rank of the
+    first of them, ``last`` is that of the last. Words are counted with map-side combination."""
+    total = durable(features.select("language", F.explode("words").alias("w")).groupBy("language", "w").agg(F.count(F.lit(1)).alias("n")))
+    # Ranks by frequency come from the distinct frequencies, of which there are few (their sum is the corpus size).
+    levels = total.groupBy("language", "n").agg(F.count(F.lit(1)).alias("k"))
+    so_far = Window.partitionBy("language").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = levels.withColumn("last", F.sum("k").over(so_far)).select("language", "n", (F.col("last") - F.col("k") + 1).alias("rank"), "last")
+    return durable(total.join(ranked, ["language", "n"]).select("language", "w", "rank", "last", "n"))
+
+
+def coverage_ranks(features: DataFrame, share: float = COVERED_SHARE, head_words: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, coverage): logarithm of the rank within which ``share`` of the document's tokens lie.
 
-    Words of equal frequency share the rank of the first of them.
+    ``features`` should be a written table of unique doc_id. The result does not depend on ``head_words``.
     """
-    counts = durable(
-        features.select("doc_id", "language", F.explode("words").alias("w"))
-        .groupBy("doc_id", "language", "w").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    total = durable(counts.groupBy("language", "w").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("n")))
-    # Ranks by frequency come from the distinct frequencies, of which there are few (their sum is the corpus size).
-    levels = total.groupBy("language", "freq").agg(F.count(F.lit(1)).alias("k"))
-    levels.createOrReplaceTempView("keelson_levels")
-    ranked = levels.sparkSession.sql(
-        "select language, freq, 1 + coalesce(sum(k) over (partition by language order by freq desc "
-        "rows between unbounded preceding and 1 preceding), 0) as rank from keelson_levels"
-    )
-    ranks = durable(total.join(ranked, ["language", "freq"]).select("language", "w", "rank", "n"))
-    placed = join_by_value(counts, ranks, ["language", "w"], "n")
-    return placed.groupBy("doc_id").agg(F.log(F.percentile("rank", F.lit(share), F.col("tf"))).alias("coverage"))
+    ranks = word_ranks(features)
+    head = ranks.where((F.col("last") <= head_words) & (F.length("w") <= HEAD_LETTERS)).select("language", "w", "rank")
+    # The words of a document lie together, so its percentile is complete before anything is shuffled.
+    words = features.select("doc_id", "language", F.explode("words").alias("w"))
+    beyond = F.lit(2.0**60)
+    placed = words.join(F.broadcast(head), ["language", "w"], "left").select("doc_id", F.coalesce(F.col("rank").cast("double"), beyond).alias("rank"))
+    covered = durable(placed.groupBy("doc_id").agg(F.percentile("rank", F.lit(share)).alias("rank")))
+    settled = covered.where(F.col("rank") <= head_words)
+    open_docs = covered.where(F.col("rank") > head_words).select("doc_id")
+    if not open_docs.isEmpty():
+        counts = words.join(open_docs, "doc_id", "left_semi").groupBy("doc_id", "language", "w").agg(F.count(F.lit(1)).alias("tf"))
+        exact = join_by_value(counts, ranks.select("language", "w", "rank", "n"), ["language", "w"], "n")
+        settled = settled.unionByName(exact.groupBy("doc_id").agg(F.percentile("rank", F.lit(share), F.col("tf")).alias("rank")))
+    return settled.select("doc_id", F.log("rank").alias("coverage"))
 
 
 def reading_features(documents: DataFrame) -> DataFrame:

@@ -89,3 +89,14 @@ def test_reading_levels(spark):
     assert all(got[i] == i % 3 + 1 for i in range(90)) and got[903] == 3 and not {900, 901, 902} & set(got)
     assert reading.reading_levels(frame, rated.limit(0)).count() == 0
     assert reading.reading_levels(frame.limit(0), rated).count() == 0
+
+
+def test_coverage_does_not_depend_on_the_head(spark):
+    draw = random.Random(4)
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)] + ["long" * 20]
+    docs = [(i, " ".join(draw.choice(words[: 1 + draw.randrange(61)]) for _ in range(40))) for i in range(50)] + [(99, "long" * 20 + " " + ("long" * 20 + " ") * 20)]
+    features = reading.document_features(spark.createDataFrame(docs, "doc_id bigint, text string")).cache()
+    whole = {r["doc_id"]: r["coverage"] for r in reading.coverage_ranks(features).collect()}
+    assert len(whole) == 51
+    for head in (0, 1, 7):
+        assert {r["doc_id"]: r["coverage"] for r in reading.coverage_ranks(features, head_words=head).collect()} == whole
