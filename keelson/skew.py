@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from keelson.storage import durable
+
 #: A key is hot when it holds at least this fraction of all rows, so there are at most 1 / HOT_FRACTION hot keys.
 HOT_FRACTION = 0.001
 #: Parts that the rows of a hot key are spread over.
@@ -21,8 +25,27 @@ def row_bytes(rows: DataFrame) -> Column:
     return sum(sizes, F.lit(8 * len(sizes)))
 
 
+class Facts(NamedTuple):
+    """What is known of a lookup: its rows, the sum of its count column, its bytes."""
+
+    rows: int
+    total: int
+    bytes: int
+
+
+def _figures(lookup: DataFrame, count_column: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), F.sum(count_column).alias("total"), F.sum(row_bytes(lookup)).alias("bytes")]
+
+
+def observed(lookup: DataFrame, count_column: str) -> tuple[DataFrame, Facts]:
+    """The lookup as a written table, and its facts, counted while it is written."""
+    watch = Observation()
+    written = durable(lookup.observe(watch, *_figures(lookup, count_column)))
+    return written, Facts(*(watch.get.get(name) or 0 for name in Facts._fields))
+
+
 def join_by_value(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], count_column: str, how: str = "inner"
+    rows: DataFrame, lookup: DataFrame, keys: list[str], count_column: str, how: str = "inner", facts: Facts | None = None
 ) -> DataFrame:
     """Join ``rows`` with ``lookup`` (unique on ``keys``), whose ``count_column`` says how many rows have that key.
 
@@ -30,13 +53,15 @@ def join_by_value(
     ``BROADCAST_BYTES`` bytes it is broadcast. Otherwise both sides are shuffled once, and the rows of hot keys are
     spread over ``SALTS`` parts. Of the hot keys, at most ``1 / HOT_FRACTION`` whatever the size of the data, only a
     hash of 8 bytes is broadcast; a key that shares the hash of a hot one is spread as well, on both sides alike.
-    ``how`` is ``inner``, ``left`` or ``left_semi``. NULL keys match nothing.
+    ``how`` is ``inner``, ``left`` or ``left_semi``. NULL keys match nothing. ``facts``, where the caller has them
+    (:func:`observed`, of the lookup or of a table with the same keys, counts and no narrower rows), save a count.
     """
-    facts = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(count_column).alias("total"), F.sum(row_bytes(lookup)).alias("bytes")).first()
-    if facts["n"] <= BROADCAST_ROWS and (facts["bytes"] or 0) <= BROADCAST_BYTES:
+    if facts is None:
+        facts = Facts(*(value or 0 for value in lookup.agg(*_figures(lookup, count_column)).first()))
+    if facts.rows <= BROADCAST_ROWS and facts.bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(lookup.drop(count_column)), keys, how)
     mark = F.xxhash64(*keys).alias("_mark")
-    hot = lookup.where(F.col(count_column) >= F.lit(facts["total"] * HOT_FRACTION)).select(mark, F.lit(True).alias("_hot")).distinct()
+    hot = lookup.where(F.col(count_column) >= F.lit(facts.total * HOT_FRACTION)).select(mark, F.lit(True).alias("_hot")).distinct()
     marked = lambda df: df.withColumn("_mark", mark).join(F.broadcast(hot), "_mark", "left").drop("_mark")
     spread = F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SALTS)).cast("int")
     salted = marked(rows).withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
