@@ -6,23 +6,32 @@ Each round shrinks the graph and notes for every removed vertex the neighbour it
 * of the vertices with two links an independent set (local minima of a hash, as in list ranking) is cut out and its
   two links are joined into one, so a chain of any length vanishes in a logarithmic number of rounds;
 * where neither removes much, the rest is a core: every vertex is merged into its smallest neighbour, after pointer
-  jumping, which at least halves the number of vertices with links.
-
-When no link is left, the rounds are undone in reverse order, and each removed vertex takes the label of the vertex it
-hung on. Only counters reach the driver. A vertex may have any share of the links: degrees are aggregated before the
-shuffle and every join by vertex goes through :func:`keelson.skew.join_by_value`, which knows the degrees.
+  jumping, which at least halves the number of vertices with links;
+* a rest of at most ``CORE_LINKS`` links, counted first, is solved by one task.
+
+When no link is left, the removed vertices form a forest of at most as many levels as rounds; doubling its pointers
+gives every vertex the root it hangs on. A round is three written tables: the degrees, what happens to each vertex, and
+the links that stay; their counts are observed while they are written. Only counters reach the driver. A vertex may
+have any share of the links: degrees are aggregated before the shuffle and every join by vertex goes through
+:func:`keelson.skew.join_by_value`, which knows the degrees.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.skew import join_by_value
+from keelson.skew import Facts, join_by_value, observed
 from keelson.storage import durable
 
 #: A round that removes less than this share of the vertices shows that a core is left.
 CORE_SHARE = 0.35
+#: Links of a core that one task solves. The first round always strips and cuts, whatever the size.
+CORE_LINKS = 10_000
 MOST_ROUNDS = 200
 
 
@@ -47,12 +56,12 @@ def _degrees(links: DataFrame) -> DataFrame:
     return _both_ways(links).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"))
 
 
-def _prune(state: DataFrame) -> DataFrame:
+def _prune(state: DataFrame, facts: Facts) -> DataFrame:
     """(v, n, parent, hi) of a stripping and chain-cutting round; ``parent`` is NULL for vertices that stay, ``hi`` is
     set for those whose links are joined."""
     few = state.where("n <= 2")
     sides = few.select("v", F.col("n").alias("own"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("w"))
-    near = join_by_value(sides, state.select(F.col("v").alias("w"), F.col("n").alias("deg"), "n"), ["w"], "n")
+    near = join_by_value(sides, state.select(F.col("v").alias("w"), F.col("n").alias("deg"), "n"), ["w"], "n", facts=facts)
     rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
     # One leaf of a lone pair stays; a vertex of a chain goes if it comes first among its neighbours of the same kind
     # and no leaf hangs on it.
@@ -70,23 +79,46 @@ def _prune(state: DataFrame) -> DataFrame:
 
 def _merge_core(state: DataFrame) -> DataFrame:
     """(v, n, parent, hi): each vertex with a smaller neighbour points to the smallest vertex reached by such steps."""
-    points = durable(state.select("v", "n", F.least("v", "lo").alias("p")))
+    points = _doubled(durable(state.select("v", F.least("v", "lo").alias("parent")).where("parent < v")))
+    merged = state.select("v", "n").join(points, "v", "left")
+    return merged.select("v", "n", "parent", F.lit(None).cast("string").alias("hi"))
+
+
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(v, parent) of the vertices of a bounded core: each hangs on the smallest of its group."""
+    above: dict[str, str] = {}
+
+    def root(v: str) -> str:
+        while above.setdefault(v, v) != v:
+            above[v] = v = above[above[v]]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            low, high = sorted((root(a), root(b)))
+            above[high] = low
+    rows = [(v, root(v)) for v in list(above) if root(v) != v]
+    yield pd.DataFrame(rows, columns=["v", "parent"], dtype="object")
+
+
+def _doubled(forest: DataFrame) -> DataFrame:
+    """A written forest (v, parent) with every vertex pointing to its root. Each step at least halves the depth."""
     while True:
-        fans = points.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-        target = points.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        lookup = durable(fans.join(target, "p"))
-        if not lookup.where("q < p").limit(1).count():
-            break
-        points = durable(join_by_value(points, lookup, ["p"], "n").select("v", "n", F.col("q").alias("p")))
-    parent = F.when(F.col("p") < F.col("v"), F.col("p"))
-    return points.select("v", "n", parent.alias("parent"), F.lit(None).cast("string").alias("hi"))
+        fans = forest.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+        above = forest.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
+        # Fans and forest are keyed by different vertices; a vertex has one row on each side.
+        lookup, facts = observed(fans.join(above, "parent"), "n")
+        if not facts.rows:
+            return forest
+        stepped = join_by_value(forest, lookup, ["parent"], "n", "left", facts)
+        forest = durable(stepped.select("v", F.coalesce("above", "parent").alias("parent")))
 
 
-def _relink(links: DataFrame, moved: DataFrame, core: bool) -> DataFrame:
+def _relink(links: DataFrame, moved: DataFrame, facts: Facts, core: bool) -> DataFrame:
     """The links among the vertices that stay."""
     for end in ("a", "b"):
         lookup = moved.select(F.col("v").alias(end), F.col("parent").alias(f"{end}p"), "n")
-        links = join_by_value(links, lookup, [end], "n")
+        links = join_by_value(links, lookup, [end], "n", facts=facts)
     if core:
         return canonical_links(links.select(F.coalesce("ap", "a").alias("a"), F.coalesce("bp", "b").alias("b")), "a", "b")
     kept = links.where("ap is null and bp is null").select("a", "b")
@@ -102,40 +134,31 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     links = durable(canonical_links(links, a, b))
     removed: list[DataFrame] = []
-    core = False
+    core, before = False, 0
     for _ in range(MOST_ROUNDS):
-        if not links.limit(1).count():
+        state, facts = observed(_degrees(links), "n")
+        if not facts.rows:
+            break
+        if removed and facts.total <= 2 * CORE_LINKS:
+            removed.append(durable(links.repartition(1).mapInPandas(_solve, "v string, parent string")))
             break
-        state = durable(_degrees(links))
-        moved = durable(_merge_core(state) if core else _prune(state))
-        facts = moved.agg(F.count(F.lit(1)).alias("all"), F.count("parent").alias("gone")).first()
-        if not core and facts["gone"] < CORE_SHARE * facts["all"]:
-            core = True
-            if not facts["gone"]:
-                continue
-            moved_core = False
-        else:
-            moved_core = core
+        # What the last round removed decides whether only a core is left.
+        core = core or facts.rows > (1 - CORE_SHARE) * before > 0
+        before = facts.rows
+        moved, _ = observed(_merge_core(state) if core else _prune(state, facts), "n")
         removed.append(moved.where("parent is not null").select("v", "parent"))
-        links = durable(_relink(links, moved, moved_core))
-
-
+        links = durable(_relink(links, moved, facts, core))
     else:
         raise RuntimeError("the links did not shrink")
-    return _restore(removed, links.sparkSession)
-
-
-def _restore(removed: list[DataFrame], spark) -> DataFrame:
-    labels = spark.createDataFrame([], "v string, label string")
-    for gone in reversed(removed):
-        fans = gone.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-        known = labels.select(F.col("v").alias("parent"), "label")
-        lookup = durable(fans.join(known, "parent", "left").select("parent", F.coalesce("label", "parent").alias("label"), "n"))
-        new = join_by_value(gone, lookup, ["parent"], "n").select("v", "label")
-        roots = lookup.where("label = parent").select(F.col("parent").alias("v"), "label")
-        labels = durable(labels.unionByName(new).unionByName(roots.join(labels.select("v"), "v", "left_anti")))
-    names = durable(labels.groupBy("label").agg(F.min("v").alias("group_id"), F.count(F.lit(1)).alias("n")))
-    return join_by_value(labels, names, ["label"], "n").select(F.col("v").alias("id"), "group_id")
+    if not removed:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
+    forest = _doubled(durable(reduce(DataFrame.unionByName, removed)))
+    names, facts = observed(
+        forest.groupBy("parent").agg(F.least("parent", F.min("v")).alias("group_id"), F.count(F.lit(1)).alias("n")), "n"
+    )
+    return join_by_value(forest, names, ["parent"], "n", facts=facts).select(F.col("v").alias("id"), "group_id").unionByName(
+        names.select(F.col("parent").alias("id"), "group_id")
+    )
 
 
 def vendor_groups(pairs: DataFrame, vendors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -148,8 +171,8 @@ def vendor_groups(pairs: DataFrame, vendors: DataFrame, threshold: float = 0.95)
     scored = pairs.where(F.col("match_probability") >= threshold).select(key("unique_id_l").alias("a"), key("unique_id_r").alias("b"))
     links = durable(canonical_links(scored, "a", "b"))
     known = vendors.select(key("legacy_vendor_id").alias("v")).where("v is not null").distinct()
-    ends = durable(_degrees(links).select("v", "n").join(known.withColumn("known", F.lit(True)), "v", "left"))
+    ends, facts = observed(_degrees(links).select("v", "n").join(known.withColumn("known", F.lit(True)), "v", "left"), "n")
     for end in ("a", "b"):
-        links = join_by_value(links, ends.select(F.col("v").alias(end), F.col("known").alias(f"{end}_known"), "n"), [end], "n")
+        links = join_by_value(links, ends.select(F.col("v").alias(end), F.col("known").alias(f"{end}_known"), "n"), [end], "n", facts=facts)
     valid = links.where("a_known and b_known").select("a", "b")
     return connected_components(valid).select(F.col("id").alias("legacy_vendor_id"), "group_id")

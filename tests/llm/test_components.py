@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from keelson.llm import components
 
 
@@ -23,7 +24,9 @@ def brute(links):
     return {x: find(x) for x in parent}
 
 
-def test_shapes(spark):
+@pytest.mark.parametrize("core", [10_000, 60, 0])
+def test_shapes(spark, monkeypatch, core):
+    monkeypatch.setattr(components, "CORE_LINKS", core)
     draw = random.Random(2)
     chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
     star = [("hub", f"s{i:03d}") for i in range(80)]
