@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keelson.llm import canonical, components, leaks, mixture, reading, survivor, variants
 from keelson.tables import table
@@ -23,12 +24,12 @@ def _members(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    won = survivor.survivors(survivor.member_values(*_members(spark, sf_dir)), votes="rank")
-    return won.select("group_id", "field_name", "legacy_vendor_id")
+    return survivor.winners(survivor.golden_records(*_members(spark, sf_dir), votes="rank"))
 
 
 def p3_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivor.golden_records(*_members(spark, sf_dir))
+    golden = survivor.golden_records(*_members(spark, sf_dir))
+    return golden.select("group_id", *(F.col(f"{f}.value").alias(f) for f in survivor.FIELDS))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +70,13 @@ QUERIES = {
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
 
-def _survivor_sql() -> str:
+def _usable_sql() -> str:
+    """The CTE k of all usable member values."""
     words = ", ".join("'" + w.replace("'", "''") + "'" for w in [*survivor.STAND_INS, *survivor.LABELS])
     long = " UNION ALL ".join(
         f"SELECT group_id, legacy_vendor_id, trust_rank, changed_at, '{f}' AS field_name, {f} AS v FROM j" for f in survivor.FIELDS
     )
-    return rf"""
-WITH m AS (SELECT DISTINCT group_id, legacy_vendor_id FROM vendor_duplicate_groups WHERE group_id IS NOT NULL),
+    return rf"""m AS (SELECT DISTINCT group_id, legacy_vendor_id FROM vendor_duplicate_groups WHERE group_id IS NOT NULL),
 d AS (SELECT DISTINCT legacy_vendor_id, source_system, changed_at, {", ".join(survivor.FIELDS)} FROM legacy_vendors),
 j AS (SELECT m.group_id, d.*, coalesce(trust_rank, 2147483647) AS trust_rank FROM m JOIN d USING (legacy_vendor_id) LEFT JOIN source_systems USING (source_system)),
 l AS ({long}),
@@ -88,14 +89,27 @@ k AS (SELECT * FROM u WHERE bare <> '' AND bare NOT IN ({words}) AND CASE field_
   WHEN 'email' THEN regexp_matches(t, '^[^@\s]+@[^@\s]+\.[^@\s]{{2,}}$')
   WHEN 'phone' THEN length(n) >= 7 AND varied AND letters = 0
   WHEN 'street' THEN letters >= 3 AND n <> ''
-  ELSE letters >= 2 END)
-SELECT group_id, field_name, legacy_vendor_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust_rank, changed_at DESC NULLS LAST, legacy_vendor_id) AS r FROM k) WHERE r = 1
-"""
+  ELSE letters >= 2 END)"""
+
 
+_P3_FOUND = f"""
+WITH {_usable_sql()}
+SELECT group_id, field_name, legacy_vendor_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust_rank, changed_at DESC NULLS LAST, legacy_vendor_id) AS r FROM k) WHERE r = 1"""
+_P3_GOLDEN = rf"""
+WITH {_usable_sql()},
+x AS (SELECT *, lower(regexp_replace(v, '[\s\x{{a0}}]+', ' ', 'g')) AS text, max(changed_at) OVER () AS newest FROM k),
+w AS (SELECT *, power(0.5, least(trust_rank, 30) - 1) * power(0.5, coalesce(date_diff('day', CAST(changed_at AS DATE), CAST(newest AS DATE)), 7300) / {survivor.HALF_LIFE_DAYS}) AS weight,
+  CASE WHEN field_name IN ('postal_code', 'tax_number') THEN regexp_replace(text, '[^a-z0-9]', '', 'g') WHEN field_name = 'phone' THEN regexp_replace(n, '^00', '')
+  WHEN field_name = 'email' THEN regexp_replace(text, '[<> ]', '', 'g') ELSE trim(text) END AS norm FROM x),
+b AS (SELECT *, row_number() OVER (PARTITION BY group_id, field_name, norm ORDER BY trust_rank, changed_at DESC NULLS LAST, legacy_vendor_id) AS r,
+  round(sum(weight) OVER (PARTITION BY group_id, field_name, norm), 9) AS vote FROM w),
+e AS (SELECT group_id, field_name, v FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY vote DESC, trust_rank, changed_at DESC NULLS LAST, legacy_vendor_id) AS p FROM b WHERE r = 1) WHERE p = 1)
+SELECT group_id, {", ".join(f"max(v) FILTER (field_name = '{f}') AS {f}" for f in survivor.FIELDS)} FROM (SELECT DISTINCT group_id FROM m) LEFT JOIN e USING (group_id) GROUP BY group_id"""
 
 ORACLE = {
-    "p3_found": _survivor_sql(),
+    "p3_found": _P3_FOUND,
+    "p3_golden": _P3_GOLDEN,
     "p7_found": """
 WITH RECURSIVE known AS (SELECT DISTINCT upper(trim(legacy_vendor_id)) AS id FROM legacy_vendors),
 pairs AS (

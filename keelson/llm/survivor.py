@@ -1,12 +1,15 @@
 """One surviving record per duplicate group, chosen field by field.
 
-The fields of the members are unpivoted to long rows, unusable values are dropped, each value gets a vote from the
-trust in its source and its age, and the winner of each (group, field) is picked by ``max_by`` with map-side
-combination; nothing is collected per group, so a group may hold any share of the rows.
-
-Two ways of voting share this path. ``votes="sum"`` adds the votes of all members with the same normalised value, so
-agreement counts. ``votes="rank"`` lets the single best member win (lowest trust rank, then latest change, then
-smallest id), which is what ``p3_found`` asks for: sums could outvote the most trusted source.
+The fields of the members are unpivoted to long rows and unusable values are dropped. Each value votes with the trust
+in its source times a decay by its age; the votes are summed per normalised value, the value with the largest vote
+wins its (group, field), shown as its best member writes it, and the winners are pivoted back to one record per group.
+All of it is aggregation with map-side combination; nothing is collected per group, so a group may hold any share of
+the rows.
+
+How steep trust and decay are decides what a sum can do. ``votes="sum"`` halves trust per rank and decays with a
+half-life, so agreement counts. ``votes="rank"`` is the limit of endless steepness: a vote of a better rank outweighs
+any number of worse ones, and a later change any number of earlier ones, so sums are compared by their leading term,
+the best member's (trust rank, change date); of equal terms the smallest id leads.
 """
 
 from __future__ import annotations
@@ -89,34 +92,41 @@ def member_values(groups: DataFrame, vendors: DataFrame, sources: DataFrame, fie
 def survivors(values: DataFrame, votes: str = "rank") -> DataFrame:
     """(group_id, field_name, value, legacy_vendor_id, vote) from the long rows of :func:`member_values`.
 
-    With ``votes="sum"`` each value's votes are added up per normalised value; the winner is the value with the most
-    votes (ties: the best single member), shown as its best member writes it. With ``votes="rank"`` the best member
-    wins. Groups without a usable value have no row for that field.
+    The votes of all members with the same normalised value are summed; the winner is the value with the largest sum
+    (see above how ``votes`` compares them; of equal sums the best single member leads). Groups without a usable value
+    have no row for that field.
     """
-    # A NULL change date is older than any date; the id is negated by ordering on its inverse rank through min.
-    best = F.struct("trust_rank", (-F.coalesce(F.unix_micros("changed_at"), F.lit(-(2**62)))).alias("age"), "legacy_vendor_id", "value")
+    # A NULL change date is older than any date.
+    age = (-F.coalesce(F.unix_micros("changed_at"), F.lit(-(2**62)))).alias("age")
+    best = F.struct("trust_rank", age, "legacy_vendor_id", "value")
     by = ["group_id", "field_name"]
-    if votes == "rank":
-        won = values.groupBy(*by).agg(F.min(best).alias("w"), F.lit(None).cast("double").alias("vote"))
-    else:
-        # Ages count from the newest change in the data, so that a later run gives the same votes.
-        newest = values.agg(F.max("changed_at").alias("newest"))
-        dated = values.crossJoin(F.broadcast(newest))
-        age = F.coalesce(F.datediff("newest", "changed_at"), F.lit(20 * 365))
-        trust = F.pow(F.lit(0.5), F.least(F.col("trust_rank"), F.lit(30)) - 1)
-        weight = trust * F.pow(F.lit(0.5), age / F.lit(HALF_LIFE_DAYS))
-        summed = dated.groupBy(*by, normalised(F.col("field_name"), F.col("value")).alias("norm")).agg(
-            F.sum(weight).alias("vote"), F.min(best).alias("b")
-        )
-        won = summed.groupBy(*by).agg(
-            F.max_by("b", F.struct(F.round("vote", 9), -F.col("b.trust_rank"), -F.col("b.age"))).alias("w"), F.max("vote").alias("vote")
-        )
-    return won.select(*by, "w.value", "w.legacy_vendor_id", "vote")
-
-
-def golden_records(groups: DataFrame, vendors: DataFrame, sources: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """One row per group with the field values that won by summed votes; NULL where no member has a usable value."""
-    won = survivors(member_values(groups, vendors, sources, fields), votes="sum")
-    wide = won.groupBy("group_id").pivot("field_name", fields).agg(F.first("value"))
+    # Ages count from the newest change in the data, so that a later run gives the same votes.
+    newest = values.agg(F.max("changed_at").alias("newest"))
+    dated = values.crossJoin(F.broadcast(newest))
+    days = F.coalesce(F.datediff("newest", "changed_at"), F.lit(20 * 365))
+    trust = F.pow(F.lit(0.5), F.least(F.col("trust_rank"), F.lit(30)) - 1)
+    weight = trust * F.pow(F.lit(0.5), days / F.lit(HALF_LIFE_DAYS))
+    summed = dated.groupBy(*by, normalised(F.col("field_name"), F.col("value")).alias("norm")).agg(
+        F.round(F.sum(weight), 9).alias("vote"), F.min(best).alias("b")
+    )
+    leading = [F.col("b.trust_rank"), F.col("b.age"), F.col("b.legacy_vendor_id")]
+    behind = F.struct(*(leading if votes == "rank" else [-F.col("vote"), *leading]))
+    won = summed.groupBy(*by).agg(F.min_by(F.struct("b.value", "b.legacy_vendor_id", "vote"), behind).alias("w"))
+    return won.select(*by, "w.*")
+
+
+def golden_records(
+    groups: DataFrame, vendors: DataFrame, sources: DataFrame, fields: list[str] = FIELDS, votes: str = "sum"
+) -> DataFrame:
+    """One row per group: for each field a struct (value, legacy_vendor_id, vote) of the value that won; NULL where no
+    member has a usable value."""
+    won = survivors(member_values(groups, vendors, sources, fields), votes)
+    wide = won.groupBy("group_id").pivot("field_name", fields).agg(F.first(F.struct("value", "legacy_vendor_id", "vote")))
     everyone = groups.select("group_id").where("group_id is not null").distinct()
     return everyone.join(wide, "group_id", "left")
+
+
+def winners(golden: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """(group_id, field_name, legacy_vendor_id): the fields of :func:`golden_records` as rows, without empty ones."""
+    ids = golden.select("group_id", *(F.col(f"{f}.legacy_vendor_id").alias(f) for f in fields))
+    return ids.unpivot(["group_id"], fields, "field_name", "legacy_vendor_id").where("legacy_vendor_id is not null")

@@ -49,7 +49,19 @@ def test_survivors(spark):
     got = {(r["group_id"], r["field_name"]): r["legacy_vendor_id"] for r in survivor.survivors(values).collect()}
     assert got == {(1, "city"): "B", (1, "tax_number"): "A", (2, "city"): "C", (2, "tax_number"): "C"}
     golden = {r["group_id"]: r for r in survivor.golden_records(groups, frame, sources).collect()}
-    assert golden[1]["tax_number"] == "DE123456789" and golden[2]["city"] == "Köln " and golden[1]["phone"] is None
+    assert golden[1]["tax_number"]["value"] == "DE123456789" and golden[2]["city"]["value"] == "Köln " and golden[1]["phone"] is None
+    ranked = survivor.golden_records(groups, frame, sources, votes="rank")
+    assert {(r["group_id"], r["field_name"]): r["legacy_vendor_id"] for r in survivor.winners(ranked).collect()} == got
+    assert ranked.count() == 3
+
+
+def test_sums_let_members_agree_and_ranks_do_not(spark):
+    vendors = [vendor(x, city=c, system=s, changed=d) for x, c, s, d in [("A", "Ulm", "TOP", 1), ("B", "Bonn", "MID", 2), ("C", "bonn", "MID", 9), ("D", "Bonn ", "MID", 9)]]
+    groups = spark.createDataFrame([(1, x) for x in "ABCD"], "group_id bigint, legacy_vendor_id string")
+    sources = spark.createDataFrame([("TOP", 1), ("MID", 2)], "source_system string, trust_rank int")
+    values = survivor.member_values(groups, spark.createDataFrame(vendors, VENDOR), sources)
+    assert [r["legacy_vendor_id"] for r in survivor.survivors(values, "sum").collect()] == ["C"]
+    assert [r["legacy_vendor_id"] for r in survivor.survivors(values, "rank").collect()] == ["A"]
     assert survivor.survivors(survivor.member_values(groups.limit(0), frame, sources)).count() == 0
 
 
