@@ -98,7 +98,7 @@ SELECT group_id, field_name, legacy_vendor_id FROM (
   SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust_rank, changed_at DESC NULLS LAST, legacy_vendor_id) AS r FROM k) WHERE r = 1"""
 _P3_GOLDEN = rf"""
 WITH {_usable_sql()},
-x AS (SELECT *, lower(regexp_replace(v, '[\s\x{{a0}}]+', ' ', 'g')) AS text, max(changed_at) OVER () AS newest FROM k),
+x AS (SELECT *, lower(regexp_replace(v, '[\s\x{{a0}}]+', ' ', 'g')) AS text, (SELECT max(changed_at) FROM legacy_vendors) AS newest FROM k),
 w AS (SELECT *, power(0.5, least(trust_rank, 30) - 1) * power(0.5, coalesce(date_diff('day', CAST(changed_at AS DATE), CAST(newest AS DATE)), 7300) / {survivor.HALF_LIFE_DAYS}) AS weight,
   CASE WHEN field_name IN ('postal_code', 'tax_number') THEN regexp_replace(text, '[^a-z0-9]', '', 'g') WHEN field_name = 'phone' THEN regexp_replace(n, '^00', '')
   WHEN field_name = 'email' THEN regexp_replace(text, '[<> ]', '', 'g') ELSE trim(text) END AS norm FROM x),

@@ -89,19 +89,20 @@ def member_values(groups: DataFrame, vendors: DataFrame, sources: DataFrame, fie
     return long.where(usable(F.col("field_name"), F.col("value")))
 
 
-def survivors(values: DataFrame, votes: str = "rank") -> DataFrame:
+def survivors(values: DataFrame, votes: str = "rank", newest: DataFrame | None = None) -> DataFrame:
     """(group_id, field_name, value, legacy_vendor_id, vote) from the long rows of :func:`member_values`.
 
     The votes of all members with the same normalised value are summed; the winner is the value with the largest sum
     (see above how ``votes`` compares them; of equal sums the best single member leads). Groups without a usable value
-    have no row for that field.
+    have no row for that field. Ages count from the date in ``newest``, one row with the column newest, or else from
+    the newest change of the values, so that a later run gives the same votes.
     """
     # A NULL change date is older than any date.
     age = (-F.coalesce(F.unix_micros("changed_at"), F.lit(-(2**62)))).alias("age")
     best = F.struct("trust_rank", age, "legacy_vendor_id", "value")
     by = ["group_id", "field_name"]
-    # Ages count from the newest change in the data, so that a later run gives the same votes.
-    newest = values.agg(F.max("changed_at").alias("newest"))
+    if newest is None:
+        newest = values.agg(F.max("changed_at").alias("newest"))
     dated = values.crossJoin(F.broadcast(newest))
     days = F.coalesce(F.datediff("newest", "changed_at"), F.lit(20 * 365))
     trust = F.pow(F.lit(0.5), F.least(F.col("trust_rank"), F.lit(30)) - 1)
@@ -120,7 +121,8 @@ def golden_records(
 ) -> DataFrame:
     """One row per group: for each field a struct (value, legacy_vendor_id, vote) of the value that won; NULL where no
     member has a usable value."""
-    won = survivors(member_values(groups, vendors, sources, fields), votes)
+    newest = vendors.agg(F.max("changed_at").alias("newest"))
+    won = survivors(member_values(groups, vendors, sources, fields), votes, newest)
     wide = won.groupBy("group_id").pivot("field_name", fields).agg(F.first(F.struct("value", "legacy_vendor_id", "vote")))
     everyone = groups.select("group_id").where("group_id is not null").distinct()
     return everyone.join(wide, "group_id", "left")
