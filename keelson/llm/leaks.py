@@ -41,7 +41,12 @@ RARE_SHARE = 0.015
 SET_PHRASE_SHARE = 0.05
 FEW_HOLDERS = 2
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
+#: Markup: anything short in angle brackets, tags of any length if they are well formed, and the addresses of links.
+_TAG = re.compile(
+    r"</?[a-zA-Z][^<>]{0,80}>"
+    r"|</?[a-zA-Z][\w:-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'=<>`]+))?)*\s*/?>"
+    r"|(?<=\])\([^()\s]*\)"
+)
 _OTHER = re.compile(r"[\W_]+")
 
 

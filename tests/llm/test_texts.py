@@ -45,6 +45,16 @@ def test_leaks_of_repeated_items_and_shared_runs(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"], r["words"]) for r in found.collect()] == [(1, 1, 8 + len(phrase.split()))]
 
 
+def test_markup_of_any_length_is_no_text(spark):
+    words = ITEM.split()
+    address = "https://example.test/" + "path-of-a-page/" * 20
+    tagged = " ".join(f'<a href="{address}" title=\'x y\'>{w}</a>' for w in words)
+    linked = " ".join(f"[{w}]({address})" for w in words)
+    frame = spark.createDataFrame([(1, tagged), (2, linked), (3, "a <b " * 20_000), (4, '<a href="' * 20_000)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, ITEM)], "item_id bigint, item_text string")
+    assert sorted(r["doc_id"] for r in leaks.leaked_items(frame, items).collect()) == [1, 2]
+
+
 def test_reduced_offsets():
     text = "Ä<b>b</b> ﬁ-\nx"
     assert leaks.reduced(text) == "abfix" and len(leaks.reduced_offsets(text)) == 5
@@ -69,6 +79,16 @@ def test_mixture_shares_and_caps(spark):
     assert mixture.mix(frame.limit(0), targets).count() == 0
 
 
+def test_small_sources_come_as_close_as_their_documents_allow(spark):
+    draw = random.Random(9)
+    docs = [(i, "big", "word " * draw.randrange(20, 40)) for i in range(400)] + [(1000 + i, "few", "word " * draw.randrange(20, 40)) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("big", 0.96, 2), ("few", 0.04, 9)], "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mixture.mixture_report(mixture.mix(frame, targets, total_tokens=15_000), targets).collect()}
+    total = sum(r["tokens"] for r in report.values())
+    assert abs(report["few"]["tokens"] - 0.04 * total) <= 40 and abs(report["big"]["tokens"] - 0.96 * 15_000) <= 80
+
+
 EASY, PLAIN, HARD = "The box is red. We need it now. ", "The finance lead wants a second check of the postal code before the next load starts. ", (
     "Notwithstanding the comprehensive harmonisation of jurisdictional obligations previously acknowledged by the continuity oversight council, "
     "the rationalisation presupposes an irreconcilable apportionment whose longitudinal implications transcend conventional interpretation. "
