@@ -42,17 +42,22 @@ SET_PHRASE_SHARE = 0.05
 FEW_HOLDERS = 2
 
 #: Markup: anything short in angle brackets, tags of any length if they are well formed, and the addresses of links.
-_TAG = re.compile(
-    r"</?[a-zA-Z][^<>]{0,80}>"
-    r"|</?[a-zA-Z][\w:-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'=<>`]+))?)*\s*/?>"
-    r"|(?<=\])\([^()\s]*\)"
-)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^<>]{0,80}|[\w:-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'=<>`]+))?)*\s*/?)>")
+_ADDRESS = re.compile(r"\]\([^()\s]*\)")
 _OTHER = re.compile(r"[\W_]+")
 
 
+def _bare(text: str) -> str:
+    """The text with blanks for markup, so that all else keeps its place."""
+    blank = lambda m: " " * len(m.group())
+    if "<" in text:
+        text = _TAG.sub(blank, text)
+    return _ADDRESS.sub(blank, text) if "](" in text else text
+
+
 def reduced(text: str) -> str:
     """Letters and digits only, folded."""
-    return _OTHER.sub("", _plain(_TAG.sub(" ", text)))
+    return _OTHER.sub("", _plain(_bare(text)))
 
 
 def _plain(text: str) -> str:
@@ -62,13 +67,12 @@ def _plain(text: str) -> str:
 
 def _item_words(text: str) -> list[str]:
     """Words as printed; parts of a hyphenated word are words of their own."""
-    return [w for w in _OTHER.split(_plain(_TAG.sub(" ", text))) if w]
+    return [w for w in _OTHER.split(_plain(_bare(text))) if w]
 
 
 def reduced_offsets(text: str) -> list[int]:
     """For each character of ``reduced(text)`` its place in the original."""
-    blank = _TAG.sub(lambda m: " " * len(m.group()), text)
-    return [i for i, c in enumerate(blank) for _ in _OTHER.sub("", _plain(c))]
+    return [i for i, c in enumerate(_bare(text)) for _ in _OTHER.sub("", _plain(c))]
 
 
 def _runs(words: list[str]) -> list[str]:

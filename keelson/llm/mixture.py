@@ -100,7 +100,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     """
     spark = documents.sparkSession
     wanted = documents.select("doc_id", "source", "text").join(F.broadcast(_listed(targets).select("source")), "source")
-    counted = durable(wanted.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens"), "text").where("tokens > 0"))
+    # The filter comes after the write, since before it the tokens would be counted twice.
+    counted = durable(wanted.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens"), "text")).where("tokens > 0")
     steps = plan_mixture(counted, targets, total_tokens, seed)
     table = spark.createDataFrame(list(steps.items()), "source string, steps array<double>")
     copies = F.size(F.filter("steps", lambda t: t <= F.col("u")))
