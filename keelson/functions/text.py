@@ -112,3 +112,77 @@ def has_cjk(c: Column) -> Column:
 def found_keywords(c: Column, keywords: list[str]) -> Column:
     """The keywords that the text contains, sorted, whatever the case."""
     return F.filter(F.array(*(F.lit(k) for k in sorted(keywords))), lambda k: F.contains(F.lower(c), F.lower(k)))
+
+
+#: What the folding of a name evens out, one step each; the steps do not depend on each other.
+FOLDS = ("case", "ampersand", "punctuation", "whitespace")
+
+
+def folded_name(c: Column, skip: str | None = None) -> Column:
+    """A name without Latin accents, case, signs and spaces, and with & and 'und' as 'and'; ``skip`` leaves one out."""
+    text = F.translate(c, "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+    if skip != "case":
+        text = F.lower(text)
+    if skip != "ampersand":
+        text = F.regexp_replace(F.replace(text, F.lit("&"), F.lit("and")), r"(?i)\bund\b", "and")
+    if skip != "punctuation":
+        text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]+", "")
+    return text if skip == "whitespace" else F.regexp_replace(text, r"\s+", "")
+
+
+def difference_tags(a: Column, b: Column) -> Column:
+    """The ways in which two writings of a name differ, as an array: a way counts if the names differ once its folding
+    is left out. ``legal_suffix`` if the legal forms are written differently, ``different_name`` if the names are not
+    the same at all, ``other`` if nothing explains the difference; empty for equal texts."""
+    core_a, core_b = (name_core(basic_name(x)) for x in (a, b))
+    form_a, form_b = (F.coalesce(legal_form(basic_name(x)), F.lit("")) for x in (a, b))
+    suffix_a, suffix_b = (F.regexp_replace(F.replace(basic_name(x), name_core(basic_name(x)), F.lit("")), " ", "") for x in (a, b))
+    suffixes = (suffix_a != suffix_b) & (form_a == form_b)
+    # With suffixes written differently only the rest is compared.
+    rest = lambda x: F.regexp_replace(x, rf"(?i)[\s,]*(?:{'|'.join(_loose(f) for f in sorted(LEGAL_FORMS, key=lambda f: -len(f)))})\.?\s*$", "")
+    left, right = F.when(suffixes, rest(a)).otherwise(a), F.when(suffixes, rest(b)).otherwise(b)
+    ways = [F.when(folded_name(left, d) != folded_name(right, d), d) for d in FOLDS]
+    tags = F.array_compact(F.array(F.when(suffixes, "legal_suffix"), *ways))
+    same = (core_a == core_b) & (form_a == form_b)
+    return (
+        F.when(a == b, F.array().cast("array<string>")).when(~same, F.array(F.lit("different_name")))
+        .when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags)
+    )
+
+
+def _loose(form: str) -> str:
+    """A legal form with any signs between its words."""
+    return form.replace(" ", r"[\s.&,]*").replace("and", "(?:and|und)?")
+
+
+def identifier(c: Column) -> Column:
+    """Letters and digits in upper case, as tax numbers are compared; NULL if there are none."""
+    return F.nullif(F.upper(F.regexp_replace(c, r"[^A-Za-z0-9]", "")), F.lit(""))
+
+
+def prefix_key(name: Column, letters: int = 4) -> Column:
+    """The first letters of a name; NULL if it is empty."""
+    return F.nullif(F.substring(name, 1, letters), F.lit(""))
+
+
+def has_control_characters(c: Column) -> Column:
+    return c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
+# Words left out when requirements are compared.
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "to", "for", "of", "in", "on", "with", "into",
+    "from", "at", "by", "as", "is", "are", "be", "that", "this", "it", "when",
+    "should", "must", "need", "needs", "want", "wants", "we", "our", "us",
+]
+
+
+def content_words(c: Column) -> Column:
+    """Distinct words of three and more letters without stop words."""
+    return F.filter(tokens(c), lambda t: ~t.isin(STOP_WORDS))
+
+
+def code_legality(c: Column, form: str, longest: int) -> Column:
+    """``code`` if a value has the form of a code, ``fits`` if it is merely short enough, else ``too_long``; NULL for
+    missing values."""
+    return F.when(~is_missing(c), F.when(c.rlike(form), "code").when(F.length(c) <= longest, "fits").otherwise("too_long"))

@@ -7,18 +7,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.skew import join_by_value, observed
+from keelson.storage import durable
+
 MATCH, REVIEW, BORDERLINE = 0.95, 0.99, 0.30
+#: Members of a block that one task pairs with all others of it.
+MEMBERS_AT_ONCE = 2_000
 
 
 def blocking_pairs(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """Distinct unordered pairs (a, b) of ids that agree on at least one rule's key; NULL keys never match.
 
     All rules go through one shuffle: the keys are exploded with their rule's name. The pairs of a block are the
-    operator's result, so a rule must be selective; :func:`block_sizes` tells beforehand what a rule costs.
+    operator's result, so a rule must be selective; :func:`block_sizes` tells beforehand what a rule costs. The members
+    of a large block are dealt out over as many tasks as its pairs need.
     """
-    keyed = _keys(rows, key, rules)
-    left, right = keyed.withColumnRenamed(key, "a"), keyed.withColumnRenamed(key, "b")
-    return left.join(right, ["rule", "block"]).where("a < b").select("a", "b").distinct()
+    keyed = durable(_keys(rows, key, rules))
+    sizes, facts = observed(
+        keyed.groupBy("rule", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / MEMBERS_AT_ONCE).cast("int")), "n"
+    )
+    placed = durable(join_by_value(keyed, sizes, ["rule", "block"], "n", facts=facts))
+    left = placed.select("rule", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(key).alias("a"))
+    right = placed.select("rule", "block", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"), F.col(key).alias("b"))
+    return left.join(right, ["rule", "block", "part"]).where("a < b").select("a", "b").distinct()
 
 
 def _keys(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

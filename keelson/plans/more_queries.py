@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.functions import text
-from keelson.operators import linkage, mapping, order, profile, rank, retrieval
+from keelson.operators import mapping, order, profile, rank, retrieval
 from keelson.streaming.changes import counts_per_window
 from keelson.tables import table
 
@@ -44,22 +43,6 @@ def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.greedy_alignment(pairs, "unique_id_l", "unique_id_r", "match_probability")
 
 
-@query()
-def vendor_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["legacy_vendor_id", "city", "currency", "created_date", "tax", "email", "phone"]
-    vendors = table(spark, sf_dir, "legacy_vendors")
-    shaped = vendors.select(
-        "legacy_vendor_id", F.lower(F.trim("city")).alias("city"), "currency", "created_date",
-        F.when(F.length(text.digits(F.col("tax_number"))) == 9, text.digits(F.col("tax_number"))).alias("tax"),
-        F.when(F.col("email").like("%@%.%"), F.lower(F.regexp_replace("email", "[<> ]", ""))).alias("email"),
-        F.when(F.length(text.digits(F.col("phone"))) >= 9, F.substring(text.digits(F.col("phone")), -7, 7)).alias("phone"),
-    )
-    rows = shaped.groupBy("legacy_vendor_id").agg(*(F.max(c).alias(c) for c in columns[1:]))
-    usable = lambda c: F.when(~F.col(c).rlike(r"^(\d)\1*$"), F.col(c))
-    rules = {"tax": usable("tax"), "email": F.col("email"), "phone": usable("phone")}
-    return linkage.link(rows, "legacy_vendor_id", rules, columns[1:])
-
-
 @query()
 def mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = table(spark, sf_dir, "source_supplier"), table(spark, sf_dir, "legacy_vendors")

@@ -176,8 +176,8 @@ def test_members_with_one_usable_value_are_blocked(spark, tmp_path):
     spark.createDataFrame(vendors, "legacy_vendor_id string, tax_number string, email string").write.parquet(f"{tmp_path}/legacy_vendors.parquet")
     groups = [(1, "A"), (1, "B"), (2, "C"), (2, "D"), (3, "B"), (3, "E")]
     spark.createDataFrame(groups, "group_id bigint, legacy_vendor_id string").write.parquet(f"{tmp_path}/vendor_duplicate_groups.parquet")
-    assert sorted(tuple(r) for r in core_queries.blocking_pairs_either(spark, str(tmp_path)).collect()) == [("A", "B"), ("C", "D")]
-    assert tuple(core_queries.blocking_coverage_either(spark, str(tmp_path)).first()) == (3, 2, 2 / 3)
+    assert sorted(tuple(r) for r in core_queries.blocking_pairs(spark, str(tmp_path)).collect()) == [("A", "B"), ("C", "D")]
+    assert tuple(core_queries.blocking_coverage(spark, str(tmp_path)).first()) == (3, 2, 2 / 3)
 
 
 def test_all_loads_are_linked_and_tagged(spark, tmp_path):
@@ -188,4 +188,4 @@ def test_all_loads_are_linked_and_tagged(spark, tmp_path):
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/legacy_vendors.parquet")
     linked = {(r["a"], r["b"]) for r in more_queries.vendor_linkage(spark, str(tmp_path)).collect()}
     assert linked == {tuple(sorted((f"V{i}", f"V{i + 1}"))) for i in range(0, 24, 2)}
-    assert {r["legacy_vendor_id"] for r in more_queries.name_writing_tags_all(spark, str(tmp_path)).where("has_ampersand").collect()} == {f"V{i}" for i in range(24)}
+    assert {r["legacy_vendor_id"] for r in more_queries.name_writing_tags(spark, str(tmp_path)).where("has_ampersand").collect()} == {f"V{i}" for i in range(24)}
