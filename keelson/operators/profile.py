@@ -73,9 +73,9 @@ def kind(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(field, kind): the narrowest of boolean, integer, number, date, datetime, string that all present values fit."""
     value = F.trim("value")
     tests: dict[str, Column] = {
-        "boolean": F.lower(value).isin("true", "false", "yes", "no", "y", "n"),
+        "boolean": F.lower(value).isin("true", "false", "yes", "no", "y", "n", "0", "1"),
         "integer": value.rlike(r"^[+-]?\d+$"),
-        "number": value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"),
+        "number": value.rlike(r"^[+-]?\d+(\.\d+)?$"),
         "date": value.rlike(r"^\d{4}-\d{2}-\d{2}$"),
         "datetime": value.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"),
     }

@@ -43,17 +43,6 @@ def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.greedy_alignment(pairs, "unique_id_l", "unique_id_r", "match_probability")
 
 
-@query()
-def mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = table(spark, sf_dir, "source_supplier"), table(spark, sf_dir, "legacy_vendors")
-    own = [c for c in source.columns if dict(source.dtypes)[c] == "string"]
-    theirs = [c for c in target.columns if dict(target.dtypes)[c] == "string"]
-    aliases = spark.createDataFrame([("vendor_name", ["vendor legal name"]), ("country", ["vendor country"]), ("tax_number", ["vat number"])], "target string, aliases array<string>")
-    sources = profile.kind(source, own).withColumnRenamed("field", "source")
-    targets = profile.kind(target, theirs).withColumnRenamed("field", "target").join(aliases, "target", "left")
-    return mapping.suggest(mapping.score(sources, targets))
-
-
 @query(r"""
 SELECT doc_id, i AS chunk_no, parts[i] AS chunk FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS parts FROM documents WHERE text IS NOT NULL), generate_series(1, len(parts)) AS g(i)
 WHERE trim(parts[i], ' ' || chr(10) || chr(9)) <> ''""")

@@ -181,11 +181,11 @@ def test_members_with_one_usable_value_are_blocked(spark, tmp_path):
 
 
 def test_all_loads_are_linked_and_tagged(spark, tmp_path):
-    from keelson.plans import more_queries
+    from keelson.plans import linkage_queries, more_queries
 
-    rows = [(f"V{i}", f"Firm {i // 2} & Co", "Bonn", "EUR", "20200101", f"1234567{10 + i // 2}", f"m{i // 2}@firm.de", f"0228 99{12345 + i // 2}", i % 6 + 1) for i in range(24)]
-    columns = "legacy_vendor_id string, vendor_name string, city string, currency string, created_date string, tax_number string, email string, phone string, load_no int"
+    rows = [(f"V{i}", f"Firm {i // 2} & Co", "Bonn", "EUR", "20200101", f"1234567{10 + i // 2}", f"m{i // 2}@firm.de", f"0228 99{12345 + i // 2}", i % 6 + 1, f"Weg {i // 2}", f"53{i // 2:03d}") for i in range(24)]
+    columns = "legacy_vendor_id string, vendor_name string, city string, currency string, created_date string, tax_number string, email string, phone string, load_no int, street string, postal_code string"
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/legacy_vendors.parquet")
-    linked = {(r["a"], r["b"]) for r in more_queries.vendor_linkage(spark, str(tmp_path)).collect()}
+    linked = {(r["a"], r["b"]) for r in linkage_queries.vendor_linkage(spark, str(tmp_path)).collect()}
     assert linked == {tuple(sorted((f"V{i}", f"V{i + 1}"))) for i in range(0, 24, 2)}
     assert {r["legacy_vendor_id"] for r in more_queries.name_writing_tags(spark, str(tmp_path)).where("has_ampersand").collect()} == {f"V{i}" for i in range(24)}
