@@ -9,14 +9,20 @@ from keelson.llm import canonical, components, leaks, mixture, reading, survivor
 from keelson.tables import table
 
 
+def _countries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The listed countries, and the names of all countries."""
+    return [table(spark, sf_dir, "country_reference").selectExpr("country_code as code", "country_name as name"), canonical.country_names(spark)]
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vendors, reference = table(spark, sf_dir, "legacy_vendors"), table(spark, sf_dir, "country_reference")
-    return canonical.canonical_column(vendors, "legacy_vendor_id", "country", reference)
+    vendors = table(spark, sf_dir, "legacy_vendors")
+    mapped = canonical.canonical_column(vendors, "legacy_vendor_id", "country", *_countries(spark, sf_dir))
+    return mapped.withColumnRenamed("code", "country_code")
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vendors, reference = table(spark, sf_dir, "legacy_vendors"), table(spark, sf_dir, "country_reference")
-    return canonical.value_report(vendors, "legacy_vendor_id", "country", reference)
+    vendors = table(spark, sf_dir, "legacy_vendors")
+    return canonical.value_report(vendors, "legacy_vendor_id", "country", *_countries(spark, sf_dir))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -13,7 +13,8 @@ def test_edits_and_trie():
 
 
 def test_canonical_values(spark):
-    listed = spark.createDataFrame([("DE", "Germany"), ("US", "United States"), ("KR", "South Korea"), ("ES", "Spain")], "country_code string, country_name string")
+    listed = spark.createDataFrame([("DE", "Germany"), ("US", "United States"), ("KR", "South Korea"), ("ES", "Spain")], "code string, name string")
+    known = canonical.country_names(spark)
     texts = {
         "Germany": "DE", " GERMANY ": "DE", "Geruany": "DE", "de": "DE", "D.E.": "DE", "DE - Germany": "DE", "Alemania": "DE", "uNITED sTATES": "US",
         "United tSates": "US", "U.S.A.": "US", "States United": "US", "Korea (South)": "KR", "North Korea": "NONE", "Spian": "ES", "Niger": "NONE", "n/a": "NONE",
@@ -21,9 +22,39 @@ def test_canonical_values(spark):
     }
     rows = [(f"V{i}", t, "x") for i, t in enumerate(texts)] + [("V0", "Germany", "x"), ("N1", None, "x"), ("N2", "  ", "x"), ("L", "DE", "x"), (None, "US", "x")]
     frame = spark.createDataFrame(rows, "id string, country string, code string")
-    got = {r["id"]: r["country_code"] for r in canonical.canonical_column(frame, "id", "country", listed).collect()}
+    got = {r["id"]: r["code"] for r in canonical.canonical_column(frame, "id", "country", listed, known).collect()}
     assert got == {f"V{i}": code for i, code in enumerate(texts.values())}
-    assert canonical.canonical_column(frame.limit(0), "id", "country", listed).count() == 0
+    assert canonical.canonical_column(frame.limit(0), "id", "country", listed, known).count() == 0
+
+
+def test_other_reference_lists(spark):
+    cities = [("c1", "Frankfurt am Main"), ("c2", "Frankfurt an der Oder"), ("c3", "Sankt Gallen"), ("c4", "New York City"), ("c5", "York")]
+    jobs = [("j1", "Head of Data Migration"), ("j2", "Head of Finance"), ("j3", "Data Migration Engineer"), ("j4", "Master Data Steward")]
+    short = [("c3", "St. Gallen"), ("c4", "NYC"), ("x9", "Frankfurt Kentucky")]
+    texts = {
+        "frankfurt a. main": "NONE", "Main, Frankfurt am": "c1", "Frankfrut an der Oder": "c2", "St Galen": "c3", "n y c": "c4", "new yorkcity": "c4", "Kentucky Frankfurt": "NONE", "Yorck": "c5", "Rome": "NONE",
+        "Hed of Data Migraton": "j1", "head finance of": "j2", "Engineer, Data Migration": "j3", "data steward master": "j4", "of of of": "NONE",
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "value string")
+    got = {}
+    for listed, known in ((cities, short), (jobs, None)):
+        names = spark.createDataFrame(listed, "code string, name string")
+        more = spark.createDataFrame(known, "code string, name string") if known else None
+        for r in canonical.canonical_values(frame, names, more).collect():
+            if r["code"] != "NONE" or r["value"] not in got:
+                got[r["value"]] = r["code"]
+    assert {t: c for t, c in got.items() if texts[t] != "NONE"} == {t: c for t, c in texts.items() if c != "NONE"}
+    assert all(got[t] in ("NONE", "c1") for t, c in texts.items() if c == "NONE")
+    assert {r["code"] for r in canonical.canonical_values(frame, spark.createDataFrame([], "code string, name string")).collect()} == {"NONE"}
+
+
+def test_common_tokens_find_no_candidates_but_count(spark, monkeypatch):
+    listed = spark.createDataFrame([(f"k{i}", f"Republic of the {a}{b}land") for i, (a, b) in enumerate((a, b) for a in ("Bor", "Mel", "Tul", "Zak") for b in ("an", "el", "is", "om"))], "code string, name string")
+    frame = spark.createDataFrame([("Repulbic of the Boranland",), ("the Zakomland of Republic",), ("Melisland",), ("republic of the",), ("of",)], "value string")
+    found = {r["value"]: (r["code"], r["score"]) for r in canonical.canonical_values(frame, listed).collect()}
+    monkeypatch.setattr(canonical, "_telling", lambda own: own.select("part", "token"))
+    assert {r["value"]: (r["code"], r["score"]) for r in canonical.canonical_values(frame, listed).collect()} == found
+    assert found["Repulbic of the Boranland"][0] == "k0" and found["the Zakomland of Republic"][0] == "k15" and found["Melisland"][0] == "k6"
 
 
 VENDOR = "legacy_vendor_id string, vendor_name string, city string, street string, postal_code string, tax_number string, email string, phone string, created_date string, source_system string, changed_at timestamp, loaded_at timestamp, value string"
