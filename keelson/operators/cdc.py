@@ -118,15 +118,16 @@ def _write(rows: DataFrame, folder: str, *spread: Column) -> dict[int, str]:
     return {int(n.split("=")[1]): f"{folder}/{n}" for n in names if n.startswith("part=")}
 
 
-def create_table(base: DataFrame, root: str | None = None, buckets: int | None = None) -> BucketedTable:
-    """A bucketed table from ``base`` (entity_id, status, effective_offset, applied_sequence).
+def create_table(base: DataFrame, root: str | None = None, buckets: int | None = None, expected: int = 0) -> BucketedTable:
+    """A bucketed table from ``base`` (entity_id, status, effective_offset, applied_sequence), with buckets for its rows
+    and for ``expected`` rows to come.
 
     Rows without an id are left out. Of repeated ids the row with the highest applied_sequence is kept (ties: the
     largest status, then offset), so the result does not depend on the order of rows. Other columns are ignored.
     """
     spark = base.sparkSession
     root = root or workspace(spark, "table")
-    buckets = buckets or max(LEAST_BUCKETS, -(-base.count() // ROWS_PER_BUCKET))
+    buckets = buckets or max(LEAST_BUCKETS, -(-(base.count() + expected) // ROWS_PER_BUCKET))
     row = F.struct(
         F.coalesce(F.col("applied_sequence").cast("bigint"), F.lit(-(2**62))).alias("applied_sequence"),
         blank_to_null(F.col("status")).alias("st"),
@@ -268,4 +269,4 @@ def current_state(table: BucketedTable, spark: SparkSession) -> DataFrame:
 
 def replay(base: DataFrame, changes: DataFrame) -> DataFrame:
     """The items that exist after ``changes`` were applied to ``base``: create a table, apply, read it."""
-    return current_state(apply_changes(create_table(base), changes), base.sparkSession)
+    return current_state(apply_changes(create_table(base, expected=changes.count()), changes), base.sparkSession)

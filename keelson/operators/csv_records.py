@@ -165,3 +165,22 @@ def loadable_records(records: DataFrame, key: str, rules: tuple[ValueRule, ...]
     pairs = F.arrays_zip(F.col("header").alias("k"), F.col("fields").alias("v"))
     once = F.filter(pairs, lambda x, i: (F.array_position("header", x["k"]) == i + 1) & x["k"].isNotNull())
     return good.select(key, "line_no", F.map_from_entries(once).alias("record"))
+
+
+#: Limits of one uploaded text.
+MOST_BYTES, MOST_ROWS, MOST_COLUMNS = 2**20, 10_000, 200
+
+
+def upload_faults(texts: DataFrame, key: str, text: str, most_bytes: int = MOST_BYTES, most_rows: int = MOST_ROWS, most_columns: int = MOST_COLUMNS) -> DataFrame:
+    """(key, fault) for each limit that a text breaks: empty, too_large, too_many_rows (lines that are not blank),
+    too_many_columns, unnamed_column, repeated_column. It refuses texts, it never cuts them."""
+    body = F.regexp_replace(F.col(text), "^﻿", "")
+    lines = F.filter(F.split(body, "\n"), lambda line: F.trim(F.regexp_replace(line, r"\r\z", "")) != "")
+    header = F.transform(F.split(F.regexp_replace(F.element_at(lines, 1), r"\r\z", ""), ","), lambda c: F.lower(F.trim(c)))
+    blank = F.col(text).isNull() | F.col(text).rlike(r"^﻿?\s*\z")
+    faults = [
+        F.when(blank, "empty"), F.when(F.octet_length(text) > most_bytes, "too_large"), F.when(~blank & (F.size(lines) - 1 > most_rows), "too_many_rows"),
+        F.when(~blank & (F.size(header) > most_columns), "too_many_columns"), F.when(~blank & F.array_contains(header, ""), "unnamed_column"),
+        F.when(~blank & (F.size(F.array_distinct(header)) < F.size(header)), "repeated_column"),
+    ]
+    return texts.select(key, F.explode(F.array_compact(F.array(*faults))).alias("fault"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.plans import contract_queries, core_queries, linkage_queries, matching_queries, more_queries, p_queries
+from keelson.plans import contract_queries, core_queries, linkage_queries, matching_queries, more_queries, p_queries, report_queries
 
-MODULES = [core_queries, more_queries, contract_queries, linkage_queries, matching_queries, p_queries]
+MODULES = [core_queries, more_queries, contract_queries, linkage_queries, matching_queries, report_queries, p_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
