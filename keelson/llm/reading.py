@@ -29,7 +29,8 @@ ENGLISH = ["the", "and", "of", "to", "is", "that", "we", "for", "it", "in", "was
 
 def _unwrapped(text: Column) -> Column:
     """The text without hyphenation at line ends and without quote marks, list marks and time stamps at line starts."""
-    joined = F.regexp_replace(text, r"(?<=\p{Ll})-\r?\n[> ]*(?=\p{Ll})", "")
+    # Patterns begin with the character that is sought, so that most places fail at once.
+    joined = F.regexp_replace(text, r"-(?<=\p{Ll}-)\r?\n[> ]*(?=\p{Ll})", "")
     return F.regexp_replace(joined, r"(?m)^\s*(?:>|[-*•]|\d+[.)]|\[\d\d:\d\d\])\s*", "")
 
 
@@ -38,8 +39,8 @@ def document_features(documents: DataFrame) -> DataFrame:
     clean = documents.where("text is not null").select("doc_id", _unwrapped(F.col("text")).alias("t"))
     split = clean.select(
         "doc_id",
-        F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("words"),
-        F.split("t", r"(?<=[.!?;])\s|\n\s*\n|\n(?=[A-Z0-9])|\s/\s").alias("parts"),
+        F.array_remove(F.split(F.lower("t"), r"\P{L}+"), "").alias("words"),
+        F.split("t", r"\s(?:(?<=[.!?;]\s)|(?<=\n)\s*\n|(?<=\n)(?=[A-Z0-9])|/\s)").alias("parts"),
     )
     sentence = F.size(F.filter("parts", lambda p: p.rlike(r"\p{L}+\P{L}+\p{L}+\P{L}+\p{L}+")))
     lean = F.aggregate("words", F.lit(0), lambda n, w: n + F.when(w.isin(GERMAN), 1).when(w.isin(ENGLISH), -1).otherwise(0))
