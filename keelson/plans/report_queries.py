@@ -210,3 +210,40 @@ WITH {contract_queries._SAID} SELECT DISTINCT owner_role AS target FROM cutover_
 def unmapped_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "cutover_plan_items").select(F.col("owner_role").alias("target")).where("target is not null").distinct()
     return mapping.unmapped(targets, contract_queries._decided(spark, sf_dir).where("source like 'RAID%'"))
+
+
+_CUT = "lower(regexp_replace(regexp_replace(regexp_replace(v, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'))"
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT v FROM (SELECT company_assignment_key AS v FROM source_supplier UNION ALL SELECT payment_condition FROM source_supplier UNION ALL SELECT legacy_created_by FROM source_supplier) WHERE v IS NOT NULL)
+SELECT v, trim(regexp_replace({_CUT}, '[^a-z0-9]+', ' ', 'g')) AS words, trim(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g')) AS plain, trim(upper(regexp_replace(v, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug,
+ regexp_matches(v, '[\\x{{4e00}}-\\x{{9fff}}]') AS cjk, regexp_matches(v, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') AS control FROM d""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of three columns as words, plain text and slug."""
+    columns = ["company_assignment_key", "payment_condition", "legacy_created_by"]
+    values = table(spark, sf_dir, "source_supplier").select(*columns).unpivot([], columns, "c", "v").select("v").where("v is not null").distinct()
+    v = F.col("v")
+    return values.select("v", text.split_identifier(v).alias("words"), text.normalize_text(v).alias("plain"), text.slug_id(v).alias("slug"), text.has_cjk(v).alias("cjk"), text.has_control_characters(v).alias("control"))
+
+
+_LEGAL = "|".join(sorted(text.LEGAL_FORMS, key=lambda f: -len(f)))
+_FORMS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.LEGAL_FORMS.items()) + "}"
+
+
+@query(rf"""
+WITH d AS (SELECT DISTINCT vendor_name AS name FROM legacy_vendors WHERE vendor_name IS NOT NULL),
+b AS (SELECT name, regexp_replace(trim(regexp_replace(replace(translate(lower(name), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '\bund\b', 'and', 'g') AS basic FROM d)
+SELECT name, basic, ({_FORMS})[nullif(regexp_extract(basic, '(?:^| )({_LEGAL})$', 1), '')] AS form, regexp_replace(basic, ' (?:{_LEGAL})$', '') AS core, nullif(substr(regexp_replace(basic, ' (?:{_LEGAL})$', ''), 1, 4), '') AS prefix FROM b""")
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name in basic form, with its legal form, its core and the prefix that blocks by."""
+    names = table(spark, sf_dir, "legacy_vendors").select(F.col("vendor_name").alias("name")).where("name is not null").distinct()
+    basic = names.withColumn("basic", text.basic_name(F.col("name")))
+    core = text.name_core(F.col("basic"))
+    return basic.select("name", "basic", text.legal_form(F.col("basic")).alias("form"), core.alias("core"), text.prefix_key(core).alias("prefix"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_retailprice * 123.456 = 0 THEN 0 ELSE round(p_retailprice * 123.456, 3 - CAST(floor(log10(p_retailprice * 123.456)) AS INT) - 1) END AS rounded FROM part""")
+def significant_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.significant(F.col("p_retailprice") * 123.456, 3).alias("rounded"))
