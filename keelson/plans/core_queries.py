@@ -76,16 +76,19 @@ def signature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.signature_histogram(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
 
 
-@query("""
-WITH m AS (
-  SELECT 'preferred_language' AS field, avg((coalesce(trim(preferred_language), '') = '')::INT) AS r FROM source_supplier
-  UNION ALL SELECT 'vat_number', avg((coalesce(trim(vat_number), '') = '')::INT) FROM source_supplier
-  UNION ALL SELECT 'vendor_legal_name', avg((coalesce(trim(vendor_legal_name), '') = '')::INT) FROM source_supplier)
-SELECT field, 'missing_values' AS issue, CASE WHEN r > 0.25 THEN 'high' ELSE 'medium' END AS severity FROM m WHERE r > 0.1""")
-def quality_flags_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = table(spark, sf_dir, "source_supplier"), ["preferred_language", "vat_number", "vendor_legal_name"]
-    flags = profile.quality_flags(profile.profile(rows, columns), profile.signature_histogram(rows, columns))
-    return flags.where("issue = 'missing_values'")
+_FLAGGED = ["preferred_language", "vat_number", "vendor_legal_name", "payment_condition", "recon_gl_account", "partner_type"]
+_FLAG_LONG = " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS v FROM source_supplier" for c in _FLAGGED)
+
+
+@query(rf"""
+WITH l AS ({_FLAG_LONG}), f AS (SELECT field, count(*) AS n, count(*) FILTER (coalesce(trim(v), '') <> '') AS present, count(DISTINCT v) FILTER (coalesce(trim(v), '') <> '') AS d FROM l GROUP BY 1),
+c AS (SELECT field, string_split(regexp_replace(regexp_replace(v, '\p{{L}}+', 'A', 'g'), '\p{{Nd}}+', 'D', 'g'), '') AS c FROM l WHERE trim(v) <> ''),
+g AS (SELECT field, least(count(DISTINCT array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), '')), 6) AS formats FROM c GROUP BY 1)
+SELECT field, 'missing_values' AS issue, CASE WHEN (n - present) / n > 0.25 THEN 'high' ELSE 'medium' END AS severity FROM f WHERE (n - present) / n > 0.1
+UNION ALL SELECT field, 'mixed_formats', CASE WHEN formats > 5 THEN 'high' ELSE 'medium' END FROM f JOIN g USING (field) WHERE d / present <= 0.98 AND formats > 1""")
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "source_supplier")
+    return profile.quality_flags(profile.profile(rows, _FLAGGED), profile.signature_histogram(rows, _FLAGGED))
 
 
 @query("SELECT * FROM (VALUES ('event_id', 'integer'), ('user_id', 'integer'), ('value', 'number'), ('event_type', 'string')) t(field, kind)")
