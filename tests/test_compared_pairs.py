@@ -76,3 +76,16 @@ def test_name_similarity_of_one_large_nation_ends(spark, tmp_path):
     path, began = suppliers(spark, tmp_path, 3000), time.time()
     rows = core_queries.name_similarity(spark, path).agg(F.count(F.lit(1)), F.min("edits"), F.max("edits"), F.count("similarity")).first()
     assert tuple(rows) == (3000 * 2999 // 2, 1, 4, 3000 * 2999 // 2) and time.time() - began < 60
+
+
+def test_token_sort_ratio_of_many_equals_that_of_one(spark, odd_rows, monkeypatch):
+    monkeypatch.setattr(dedupe, "TEXTS_AT_ONCE", 7)
+    expected = joined(odd_rows, similarity.token_sort_ratio(F.col("x"), F.col("y")).alias("ratio"))
+    found = dedupe.compared_pairs(odd_rows, "block", "key", "name", {"ratio": (similarity.indel_ratios, "double")}, similarity.sorted_words)
+    assert found.dtypes == expected.dtypes and ordered(found) == ordered(expected)
+
+
+def test_token_sort_ratio_of_one_large_nation_ends(spark, tmp_path):
+    path, began = suppliers(spark, tmp_path, 3000), time.time()
+    rows = core_queries.token_sort_ratio_pairs(spark, path).agg(F.count("ratio"), F.max("ratio")).first()
+    assert rows[0] == 3000 * 2999 // 2 and rows[1] == 200 * 17 / 36 and time.time() - began < 60
